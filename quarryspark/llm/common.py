@@ -116,16 +116,16 @@ def runs(off: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         a = min(b, n)
 
 
-def _cuts(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of about CHUNK bytes that end at a row's end or after white space, so no word is cut."""
+def _cuts(data: np.ndarray, off: np.ndarray, space: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about CHUNK bytes that end at a row's end or before a separator, so no word is cut."""
     a, n = 0, len(data)
     while a < n:
         b = min(a + CHUNK, n)
         if b < n:
             ends = int(off[np.searchsorted(off, b, "left")])
             at = b
-            while at < ends and not SPACE[data[at]]:
-                step = np.flatnonzero(SPACE[data[at : min(at + 4096, ends)]])
+            while at < ends and not space[data[at]]:
+                step = np.flatnonzero(space[data[at : min(at + 4096, ends)]])
                 at = at + int(step[0]) if len(step) else min(at + 4096, ends)
                 if len(step):
                     break
@@ -134,19 +134,20 @@ def _cuts(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def words(data: np.ndarray, off: np.ndarray, lower: bool = False, hashes: int = 1, bounds: bool = False):
-    """Hashes of the words [^\\x20\\x09-\\x0D]+ of every row.
+def words(data: np.ndarray, off: np.ndarray, lower: bool = False, hashes: int = 1, bounds: bool = False, space: np.ndarray = SPACE, prefixes: tuple[int, ...] = ()):
+    """Hashes of the words of every row: runs of bytes that aren't in space, so [^\\x20\\x09-\\x0D]+ by default.
 
     Returns (hash arrays, offsets of each row's words[, starts, ends in bytes]). A word's hash is a polynomial over
-    its bytes modulo 2^64, taken from prefix sums, then mixed; two arrays come from different bases.
+    its bytes modulo 2^64, taken from prefix sums, then mixed; two arrays come from different bases. prefixes: further arrays, with the hash of each word's
+    first so many bytes, and 0 for words that have no more.
     """
-    hs: list[list[np.ndarray]] = [[] for _ in range(hashes)]
+    hs: list[list[np.ndarray]] = [[] for _ in range(hashes + len(prefixes))]
     starts, ends = [], []
-    for a, b in _cuts(data, off):
+    for a, b in _cuts(data, off, space):
         seg = data[a:b]
         if lower:
             seg = LOWER[seg]
-        solid = ~SPACE[seg]
+        solid = ~space[seg]
         first, last = solid.copy(), solid.copy()
         first[1:] &= ~solid[:-1]
         last[:-1] &= ~solid[1:]
@@ -162,6 +163,9 @@ def words(data: np.ndarray, off: np.ndarray, lower: bool = False, hashes: int =
             p, q = _powers(i, len(seg) + 1)
             np.cumsum(wide * p[: len(seg)], out=total[1:])
             hs[i].append(mix((total[e] - total[s]) * q[s]))
+        for i, most in enumerate(prefixes):
+            long = e - s > most
+            hs[hashes + i].append(np.where(long, mix((total[np.minimum(e, s + most)] - total[s]) * q[s] + np.uint64(most)), np.uint64(0)))
         starts.append(s + a)
         ends.append(e + a)
     s = np.concatenate(starts) if starts else np.zeros(0, np.int64)
@@ -234,3 +238,34 @@ def distinct(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     at = np.flatnonzero(new)
     return h[at], np.diff(np.append(at, len(h))), np.concatenate([[0], np.cumsum(np.bincount(row[at], minlength=len(off) - 1))])
+
+
+def held(doc_id, modulus: int, remainder: int):
+    """Whether crc32(doc_id as text) mod modulus is remainder."""
+    from pyspark.sql import functions as F
+
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == remainder
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, most_bytes: int):
+    """A bounded training sample as pandas: doc_id, text, y.
+
+    labels: doc_id, y. Of each y the per_class rows that come first by a hash of the id, of texts up to most_bytes;
+    only ids are sorted, then the chosen texts are read.
+    """
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    labels = labels.where("doc_id is not null and y is not null")
+    chosen = []
+    for (y,) in labels.select("y").distinct().collect():  # classes of a label
+        rows = labels.where(F.col("y") == F.lit(y)).select("doc_id", "y").distinct()
+        chosen += rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()
+    if not chosen:
+        return pd.DataFrame({"doc_id": [], "text": [], "y": []})
+    texts = docs.where(F.col("doc_id").isin([r["doc_id"] for r in chosen]) & (F.octet_length("text") <= most_bytes)).select("doc_id", "text").toPandas()
+    return texts.drop_duplicates("doc_id").merge(pd.DataFrame([tuple(r) for r in chosen], columns=["doc_id", "y"]), on="doc_id").sort_values("doc_id").reset_index(drop=True)
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
