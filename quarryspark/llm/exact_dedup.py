@@ -25,6 +25,8 @@ _ROCKS = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.minBatchesToRetain": "2",
 }
+#: Digest rows for each partition of the state: a store takes some MB of disk whatever it holds.
+ROWS_PER_STORE = 500_000
 #: Hits of one keeper that share one copy of its text in the byte check.
 HITS_PER_COPY = 512
 
@@ -53,9 +55,11 @@ def keepers(stream: DataFrame) -> DataFrame:
 
 def _state(spark: SparkSession, scratch: Scratch, table: DataFrame, files_per_batch: int) -> DataFrame:
     """Runs the stream over what scratch holds, and reads its state back."""
-    before = {k: spark.conf.get(k, None) for k in _ROCKS}
+    stores = max(12, -(-table.count() // ROWS_PER_STORE))
+    settings = {**_ROCKS, "spark.sql.streaming.internal.stateStore.partitions": str(stores)}
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
-        for k, v in _ROCKS.items():
+        for k, v in settings.items():
             spark.conf.set(k, v)
         stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_batch).parquet(scratch.path("digests"))
         run = keepers(stream).writeStream.outputMode("update").format("noop").trigger(availableNow=True).option("checkpointLocation", scratch.path("stream")).start()
@@ -88,10 +92,12 @@ def exact_dedup(docs: DataFrame, files_per_batch: int = 1000, digest=sha) -> Dat
     # Every hit against the keeper's bytes. Only rows of groups bring their text along, and a keeper's goes out once for so many hits.
     grouped = rows.where("n > 1").select("doc_id", "digest", "keep_id", F.floor((F.col("n") - 1) / HITS_PER_COPY).cast("int").alias("last_copy"))
     bodies = docs.join(grouped, "doc_id").withColumn("body", normalised(F.col("text"))).where(digest(F.col("body")) == F.col("digest")).drop("text")
+    bodies = scratch.save(bodies, "bodies")
     hits = bodies.where("not (doc_id <=> keep_id)").withColumn("copy", F.pmod(F.xxhash64("doc_id"), F.col("last_copy") + 1).cast("int"))
     kept_text = bodies.where("doc_id <=> keep_id").select("digest", F.explode(F.sequence(F.lit(0), "last_copy")).alias("copy"), F.col("body").alias("keep_body"))
     checked = hits.join(kept_text, ["digest", "copy"])
     odd = scratch.save(checked.where("body <> keep_body").select("doc_id", "digest", "body"), "odd")
+    scratch.drop("bodies")
     if not odd.limit(1).count():
         return rows.select("doc_id", "keep_id", F.col("n").alias("group_size"), F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
 
