@@ -5,6 +5,500 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import text as T
+from ..functions import urls as U
+from ..operators import judge as J
+from ..operators import retrieval as R
+from ..operators import store as S
+from ..sources import html, robots
+from . import oracle as O
+from . import search as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+class Tables:
+    """The tables of a folder, in the roles that the plans give them."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+    @property
+    def hosted(self) -> DataFrame:
+        return self.documents.withColumn("host", F.concat("source", F.lit(".example.org")))
+
+    @property
+    def vectors(self) -> DataFrame:
+        return self.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+
+    @property
+    def dated(self) -> DataFrame:
+        """Documents with a date: 2024-01-01 plus doc_id mod 365 days, none for every seventh."""
+        day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("doc_id", F.lit(365)).cast("int"))
+        return self.hosted.withColumn("published", F.when(F.col("doc_id") % 7 != 0, day))
+
+    @property
+    def candidates(self) -> DataFrame:
+        return P.candidates(self.benchmark, self.documents, self.vectors)
+
+    @property
+    def judged(self) -> DataFrame:
+        return P.judged(self.benchmark, self.hosted, self.candidates)
+
+    @property
+    def aliases(self) -> DataFrame:
+        """A chain of redirects: each url to that of half its page_id, and a cycle between the first two."""
+        a = self.pages.select("page_id", "url")
+        to = F.when(F.col("page_id") > 1, F.floor(F.col("page_id") / 2)).otherwise(1 - F.col("page_id"))
+        return a.select(F.concat(F.lit("p"), "page_id").alias("from_url"), F.concat(F.lit("p"), to.cast("long")).alias("to_url"))
+
+    @property
+    def queue(self) -> DataFrame:
+        """Users as hosts and events as urls of a crawl queue."""
+        e = self.events.where("event_id % 3 = 0")
+        status = F.element_at(F.array(*map(F.lit, ("pending", "active", "done", "error"))), (F.col("event_id") % 4 + 1).cast("int"))
+        return e.select(F.concat(F.lit("https://h"), "user_id", F.lit("/"), "event_id").alias("url"), (F.col("event_id") % 5).cast("int").alias("depth"), (F.col("value") % 1.0).alias("priority"), status.alias("status"), F.col("ts").alias("discovered_at"), F.lit(0).alias("attempts"))
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# Text functions over whole documents.
+
+@query(f"select doc_id, {O.fold('text')} as folded from documents")
+def fold_text(t):
+    return t.documents.select("doc_id", T.fold(F.col("text")).alias("folded"))
+
+
+@query(r"select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as collapsed from documents")
+def collapse_whitespace(t):
+    return t.documents.select("doc_id", T.collapse(F.col("text")).alias("collapsed"))
+
+
+@query(r"select doc_id, case when length(text) > 1500 then regexp_replace(left(text, 1499), '\s+$', '') || '…' else text end as content from documents")
+def truncate_content(t):
+    return t.documents.select("doc_id", T.truncate(F.col("text"), 1500).alias("content"))
+
+
+@query(r"select doc_id, array_to_string(regexp_extract_all(text, '(\p{L}[\p{L}\p{M}\p{N}''’-]*|\p{N}+)', 1), '|') as words from documents")
+def words_extract(t):
+    return t.documents.select("doc_id", F.concat_ws("|", T.words(F.col("text"))).alias("words"))
+
+
+@query("select doc_id, ceil(length(text) / 4e0)::int as tokens from documents")
+def token_estimate(t):
+    return t.documents.select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+SENTENCES = (
+    r"list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\b(" + "|".join(T.ABBREVIATIONS) + r")\.', '\1' || chr(57344), 'g'), '(\d)\.(\d)', '\1' || chr(57344) || '\2', 'g'), "
+    r"'([.!?])\s+', '\1' || chr(57345), 'g'), '\n{2,}', chr(57345), 'g'), chr(57345)), lambda x: regexp_replace(replace(x, chr(57344), '.'), '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+)
+
+
+@query(f"select doc_id, len({SENTENCES})::int as n, array_to_string({SENTENCES}, '¦') as sentences from documents")
+def sentences(t):
+    return t.documents.select("doc_id", T.sentences(F.col("text")).alias("s")).select("doc_id", F.size("s").alias("n"), F.concat_ws("¦", "s").alias("sentences"))
+
+
+@query(f"with k as (select distinct unnest({O.KEPT}) term from documents) select term, {O.stem('term')} as stem from k")
+def stem_terms(t):
+    kept = t.documents.select(F.explode(T.raw_terms(F.col("text"))).alias("term")).where((F.length("term") <= 1) | ~T.is_stopword(F.col("term"))).distinct()
+    return kept.select("term", T.stem(F.col("term")).alias("stem"))
+
+
+@query(f"with {O.TOKENS} select doc_id, term, count(*) as tf from tok group by all")
+def tokenize_docs(t):
+    return R.postings(t.documents)
+
+
+@query(f"select item_id, unnest({O.QUERY_TERMS}) as term from benchmark")
+def query_tokens(t):
+    return t.benchmark.select("item_id", F.explode(T.query_terms(F.col("text"))).alias("term"))
+
+
+@query(f"select doc_id, array_to_string({O.QUOTED}, '|') as phrases from documents")
+def quoted_phrases(t):
+    return t.documents.select("doc_id", F.concat_ws("|", T.quoted(F.col("text"))).alias("phrases"))
+
+
+_MARKS = {k: "(" + ", ".join(map(O.quote, m)) + ")" for k, m in (("pt", T.PT_MARKERS), ("en", T.EN_MARKERS))}
+
+
+@query(
+    rf"with w as (select doc_id, unnest(string_split_regex({O.fold('text')}, '\s+')) w from documents), c as (select doc_id, count(*) filter (where w in {_MARKS['pt']}) pt, count(*) filter (where w in {_MARKS['en']}) en from w group by 1) "
+    "select doc_id, case when pt = 0 and en = 0 then 'und' when pt >= en * 1.2e0 then 'pt' when en >= pt * 1.2e0 then 'en' else 'und' end as lang_guess from c"
+)
+def detect_language(t):
+    return t.documents.select("doc_id", T.detect_language(F.col("text")).alias("lang_guess"))
+
+
+@query(r"select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '(?m)^\s*[-*+]\s+', '', 'g'), '[*_`>#]', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') as plain from documents")
+def plain_markdown(t):
+    return t.documents.select("doc_id", T.plain_markdown(F.col("text")).alias("plain"))
+
+
+@query(f"select item_id, array_to_string({O.content_words('text')}, ' ') as content from benchmark")
+def content_words(t):
+    return t.benchmark.select("item_id", F.concat_ws(" ", T.content_words(F.col("text"))).alias("content"))
+
+
+# Index and retrieval.
+
+@query(f"with {O.TOKENS}, dl as (select doc_id, 2 * len({O.KEPT}) dl from documents) select (select count(*) from documents) as docs, (select count(distinct term) from tok) as terms, (select {O.half_up('avg(dl)', 2)} from dl) as avg_length")
+def index_stats(t):
+    terms = R.tokens(t.documents).agg(F.countDistinct("term").alias("terms"))
+    return R.lengths(t.documents).agg(F.count(F.lit(1)).alias("docs"), T.round_half_up(F.avg("dl"), 2).alias("avg_length")).crossJoin(F.broadcast(terms)).select("docs", "terms", "avg_length")
+
+
+@query(f"with {O.TOKENS} select term, count(distinct doc_id) as df, count(*) as cf from tok group by 1")
+def term_stats(t):
+    return R.postings(t.documents).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
+@query(f"with {O.BM25} select item_id, doc_id, score, rank::int as rank from lex where rank <= 10")
+def bm25_topk(t):
+    return R.bm25(t.benchmark, t.documents, 10)
+
+
+@query(f"with {O.DENSE} select item_id, doc_id, score, rank::int as rank from den where rank <= 10")
+def dense_topk(t):
+    asked = t.benchmark.select("item_id").join(t.vectors.select(F.col("doc_id").alias("item_id"), "vector"), "item_id")
+    return R.dense(asked, t.vectors, 10)
+
+
+@query(f"with {O.FUSED} select item_id, doc_id, fused, channels, lexical, dense, rank::int as rank from fr where rank <= 72")
+def rrf_hybrid(t):
+    return R.hybrid(t.benchmark, t.documents, t.vectors)
+
+
+@query(f"with {O.BM25} select item_id, doc_id, {O.half_up('(score - min(score) over w) / (case when max(score) over w > min(score) over w then max(score) over w - min(score) over w else 1 end)')} as normalized, {O.half_up('case when max(score) over w <= 0 then 0 else score / max(score) over w end')} as relative from lex where rank <= 10 window w as (partition by item_id)")
+def normalize_scores(t):
+    w = Window.partitionBy("item_id")
+    span = F.max("score").over(w) - F.min("score").over(w)
+    rows = R.bm25(t.benchmark, t.documents, 10)
+    return rows.select("item_id", "doc_id", T.round_half_up((F.col("score") - F.min("score").over(w)) / F.when(span > 0, span).otherwise(1.0)).alias("normalized"), T.round_half_up(F.when(F.max("score").over(w) <= 0, 0.0).otherwise(F.col("score") / F.max("score").over(w))).alias("relative"))
+
+
+@query(f"with {O.GRAMS} select doc_id, simhash from hx")
+def simhash_bits(t):
+    return R.simhash_bits(t.documents)
+
+
+@query(f"with {O.GRAMS}, h as (select min(doc_id) doc_id, simhash from hx group by simhash) select a.doc_id as a, b.doc_id as b, {O.hamming('a.simhash', 'b.simhash')}::int as distance from h a join h b on a.doc_id < b.doc_id where {O.hamming('a.simhash', 'b.simhash')} <= 5")
+def neardup_pairs(t):
+    return R.near_pairs(R.simhash_bits(t.documents))
+
+
+@query(f"with {O.SIGNALS} select item_id, doc_id from near")
+def neardup_greedy(t):
+    return t.candidates.select("item_id", "doc_id")
+
+
+# Filters, above the rank cut.
+
+_TOP = f"with {O.BM25}, top as (select item_id, doc_id, d.* exclude (doc_id), {O.HOST} host, case when doc_id % 7 <> 0 then date '2024-01-01' + (doc_id % 365)::int end published from lex join documents d using (doc_id) where rank <= 72) select item_id, doc_id from top where "
+
+
+def _top(t):
+    return R.bm25(t.benchmark, t.documents, R.POOL).select("item_id", "doc_id").join(t.dated, "doc_id")
+
+
+@query(_TOP + "host in ('src1.example.org', 'src2.example.org')")
+def filter_domains_restrict(t):
+    return P.passes(_top(t), include=["src1.example.org", "src2.example.org"]).select("item_id", "doc_id")
+
+
+@query(_TOP + "host not in ('src0.example.org', 'src3.example.org')")
+def filter_domains_exclude(t):
+    return P.passes(_top(t), exclude=["src0.example.org", "src3.example.org"]).select("item_id", "doc_id")
+
+
+@query(_TOP + "(lang = '' or lower(lang) like 'de%')")
+def filter_language(t):
+    return P.passes(_top(t), language="de-AT").select("item_id", "doc_id")
+
+
+@query(_TOP + "published between date '2024-02-01' and date '2024-03-31'")
+def filter_dates_strict(t):
+    return P.passes(_top(t), since=F.lit("2024-02-01").cast("date"), until=F.lit("2024-03-31").cast("date"), strict_dates=True).select("item_id", "doc_id")
+
+
+@query(_TOP + "(published is null or published between date '2024-02-01' and date '2024-03-31')")
+def filter_dates_lenient(t):
+    return P.passes(_top(t), since=F.lit("2024-02-01").cast("date"), until=F.lit("2024-03-31").cast("date")).select("item_id", "doc_id")
+
+
+@query(f"select doc_id from documents where not regexp_matches(text, {O.quote(J.UNSAFE)})")
+def safe_search(t):
+    return P.passes(t.documents, safe=True).select("doc_id")
+
+
+@query(f"select d.doc_id, b.item_id from documents d join benchmark b on contains({O.fold('d.text')}, {O.fold('b.text')})")
+def exact_phrase(t):
+    items = t.benchmark.select("item_id", T.fold(F.col("text")).alias("p"))
+    return t.documents.select("doc_id", T.fold(F.col("text")).alias("f")).join(R.small(items), F.expr("contains(f, p)")).select("doc_id", "item_id")
+
+
+# Judgement.
+
+@query(f"with {O.SIGNALS} select item_id, doc_id, {O.half_up('aff', 6)} as aff, {O.half_up('cov', 6)} as cov, auth, {O.half_up('qual', 6)} as qual, inj, adv from sig")
+def signals(t):
+    rows = J.signals(t.candidates.where("rank <= 24"), t.benchmark, t.hosted)
+    return rows.select("item_id", "doc_id", T.round_half_up(F.col("aff"), 6).alias("aff"), T.round_half_up(F.col("cov"), 6).alias("cov"), "auth", T.round_half_up(F.col("qual"), 6).alias("qual"), "inj", "adv")
+
+
+@query(f"select doc_id, {O.half_up(O.quality('text'), 6)} as quality, {O.injection('text')} as injection, {O.half_up(O.advertisement('text'), 6)} as advertisement from documents")
+def document_signals(t):
+    x = F.col("text")
+    return t.documents.select("doc_id", T.round_half_up(J.quality(x), 6).alias("quality"), J.injection(x).alias("injection"), T.round_half_up(J.advertisement(x), 6).alias("advertisement"))
+
+
+_PAGE_HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1))"
+
+
+@query(f"select page_id, {O.authority(_PAGE_HOST)} as authority from pages")
+def signal_authority(t):
+    return t.pages.select("page_id", J.authority(U.host(F.col("url"))).alias("authority"))
+
+
+@query(f"with {O.RERANK} select item_id, doc_id, composite, keep from rr")
+def rerank_composite(t):
+    return t.judged.select("item_id", "doc_id", "composite", "keep")
+
+
+@query(f"with {O.GATE} select item_id, doc_id, route from ga")
+def gate_route(t):
+    return t.judged.select("item_id", "doc_id", "route")
+
+
+@query("with r as (select o_orderkey, o_custkey, c_mktsegment, o_totalprice, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) n from orders join customer on c_custkey = o_custkey) select o_orderkey, o_custkey, c_mktsegment from r where n <= 2")
+def domain_cap(t):
+    rows = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).withColumn("item_id", F.lit(0)).withColumn("host", F.col("o_custkey"))
+    return J.domain_cap(rows, [F.desc("o_totalprice"), F.col("o_orderkey")]).select("o_orderkey", "o_custkey", "c_mktsegment")
+
+
+@query(f"with {O.PAGE} select item_id, position::int as position, doc_id, host, composite as score, route, channels from pg where position <= 10")
+def search_pipeline(t):
+    return P.search(t.benchmark, t.hosted, t.vectors)
+
+
+_VERDICT = f"""with {O.PAGE}, ev as (select item_id, count(*) n, count(distinct host) domains, max(composite) top, max(cov) cov from pg where route = 'include' group by 1),
+v as (select item_id, coalesce(n, 0) n, coalesce(domains, 0) domains, top, case when coalesce(n, 0) = 0 then 0e0 else {O.half_up('0.2e0 + 0.75e0 * cov')} end sufficient from benchmark left join ev using (item_id))
+select item_id, n, domains, sufficient, case when n = 0 then 0e0 else {O.half_up(O.clamp('0.7e0 * top + 0.3e0 * least(1e0, n / 4e0)'))} end as evidence_score,
+case when n = 0 then 'no_evidence' when sufficient < 0.85e0 and n < 2 then 'insufficient_evidence' when sufficient < 0.85e0 and domains < 2 then 'single_source' when top < 0.4e0 then 'weak_match' when sufficient < 0.65e0 then 'evidence_does_not_support_answer' end as reason from v"""
+
+
+@query(_VERDICT)
+def abstain_reason(t):
+    return J.verdicts(P.page(t.judged, 10**6), t.benchmark)
+
+
+@query(f"with {O.GATE} select item_id, count(*) as fused, count(*) filter (where keep) as kept, count(*) filter (where route = 'include') as included, count(*) filter (where route = 'conflicting') as conflicting from ga group by 1")
+def probe_funnel(t):
+    n = lambda c, x: F.count_if(c).alias(x)
+    return t.judged.groupBy("item_id").agg(F.count(F.lit(1)).alias("fused"), n(F.col("keep"), "kept"), n(F.col("route") == "include", "included"), n(F.col("route") == "conflicting", "conflicting"))
+
+
+_GOLD = "gold as (select item_id, doc_id from benchmark b join documents d on contains(d.text, b.text))"
+
+
+@query(f"with {O.BM25}, {_GOLD}, best as (select item_id, min(rank) r from gold join lex using (item_id, doc_id) group by 1) select count(distinct g.item_id) as items, count(distinct g.item_id) filter (where r <= 1) as at_1, count(distinct g.item_id) filter (where r <= 3) as at_3, count(distinct g.item_id) filter (where r <= 5) as at_5 from gold g left join best using (item_id)")
+def recall_at_k(t):
+    gold = t.documents.select("doc_id", F.col("text").alias("f")).join(R.small(t.benchmark), F.expr("contains(f, text)")).select("item_id", "doc_id")
+    best = gold.join(R.bm25(t.benchmark, t.documents, 5), ["item_id", "doc_id"]).groupBy("item_id").agg(F.min("rank").alias("r"))
+    rows = gold.select("item_id").distinct().join(best, "item_id", "left")
+    return rows.agg(F.count(F.lit(1)).alias("items"), *(F.count_if(F.col("r") <= k).alias(f"at_{k}") for k in (1, 3, 5)))
+
+
+# Claims against their sources: an assistant's turn against the text before it.
+
+_CLAIMS = "c as (select conv_id, turn, text claim, lag(text) over w source, role from conversations window w as (partition by conv_id order by turn, role, text))"
+
+
+def _claims(t):
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    return t.conversations.withColumn("source", F.lag("text").over(w)).where("role = 'assistant' and source is not null").select("conv_id", "turn", F.col("text").alias("claim"), "source")
+
+
+@query(f"with {_CLAIMS}, k as (select conv_id, turn, source, {O.content_words('claim')} q, {O.content_words('source')} d from c where role = 'assistant' and source is not null), s as (select conv_id, turn, {O.half_up('0.12e0 + 0.85e0 * ' + O.affinity('q', 'd', 'source'))} support from k) select conv_id, turn, support, support >= 0.7e0 as kept from s")
+def citations_verify(t):
+    rows = _claims(t).select("conv_id", "turn", "source", T.content_words(F.col("claim")).alias("q"), T.content_words(F.col("source")).alias("d"))
+    rows = rows.select("conv_id", "turn", T.round_half_up(0.12 + 0.85 * J.affinity(F.col("q"), F.col("d"), F.col("source"))).alias("support"))
+    return rows.withColumn("kept", F.col("support") >= 0.7)
+
+
+_SPANS = SENTENCES.replace("(text,", "(source,")
+
+
+@query(
+    f"with {_CLAIMS}, s as (select conv_id, turn, list_distinct({O.content_words('claim')}) q, unnest(list_filter({_SPANS}, lambda x: length(x) >= 30)[1:8]) span, generate_subscripts(list_filter({_SPANS}, lambda x: length(x) >= 30)[1:8], 1) i from c where role = 'assistant' and source is not null), "
+    f"o as (select *, len(list_filter(q, lambda w: list_contains({O.content_words('span')}, w))) overlap from s) select conv_id, turn, arg_max(span, overlap * 1000 - i) as span, max(overlap)::int as overlap from o where overlap > 0 group by 1, 2"
+)
+def best_span(t):
+    rows = _claims(t).select("conv_id", "turn", F.array_distinct(T.content_words(F.col("claim"))).alias("q"), F.posexplode(F.slice(F.filter(T.sentences(F.col("source")), lambda x: F.length(x) >= 30), 1, 8)).alias("i", "span"))
+    rows = rows.withColumn("d", T.content_words(F.col("span"))).withColumn("overlap", F.size(F.filter("q", lambda w: F.array_contains("d", w))))
+    return rows.where("overlap > 0").groupBy("conv_id", "turn").agg(F.max_by("span", F.struct(F.col("overlap"), -F.col("i"))).alias("span"), F.max("overlap").alias("overlap"))
+
+
+# Pages, urls, robots.
+
+_PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+
+
+@query(f"with p as (select page_id, regexp_replace({_PAGE_HOST}, '^www\\.', '') as domain, case when {_PATH} = '' then '/' else {_PATH} end p, regexp_matches(url, '(?i)^https?://[^/?#]') as http from pages) select page_id, domain, http, case when p = '/' or regexp_matches(p, '\\.[A-Za-z0-9]{{1,8}}$') then null else regexp_replace(p, '/+$', '') || '/' end as scope from p")
+def url_parts(t):
+    u = F.col("url")
+    return t.pages.select("page_id", U.domain(u).alias("domain"), U.is_http(u).alias("http"), U.scope(u).alias("scope"))
+
+
+@query(r"""select page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\s+', ' ', 'g')) as title, regexp_extract(html, '(?i)<html[^>]*\blang="([^"]*)"', 1) as lang, len(regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1)) as n_links from pages""")
+def page_meta(t):
+    return html.meta(t.pages)
+
+
+@query()
+def html_extract(t):
+    return html.extract(t.pages).drop("links")
+
+
+_ROBOTS = "User-agent: *\nDisallow: /en/1\nDisallow: /de/\nAllow: /de/2\nCrawl-delay: 2\nDisallow: /*.html$\nDisallow:\nSitemap: https://example.com/map.xml\n\nUser-agent: otherbot\nDisallow: /"
+_RULES = "(values (1, '/en/1', false, '^/en/1'), (2, '/de/', false, '^/de/'), (3, '/de/2', true, '^/de/2'), (5, '/*.html$', false, '^/.*\\.html$')) r(n, pattern, allow, regex)"
+
+
+def _robots(t):
+    return t.pages.select(U.host(F.col("url")).alias("host")).distinct().withColumn("body", F.lit(_ROBOTS))
+
+
+@query(f"with u as (select distinct {_PAGE_HOST} host, case when {_PATH} = '' then '/' else {_PATH} end path from pages), h as (select host, path, arg_max(allow, length(pattern) * 100 - n) allow from u join {_RULES} on regexp_matches(path, regex) group by 1, 2) select u.host, u.path, coalesce(allow, true) as allow from u left join h using (host, path)")
+def robots_match(t):
+    return robots.allowed(t.pages.select(U.host(F.col("url")).alias("host"), U.path(F.col("url")).alias("path")).distinct(), _robots(t), "quarrybot")
+
+
+@query(f"select distinct {_PAGE_HOST} as host, 2000::bigint as crawl_delay_ms, 'https://example.com/map.xml' as sitemap from pages")
+def robots_delays(t):
+    return robots.crawl_delays(_robots(t), "quarrybot").join(robots.sitemaps(_robots(t), "quarrybot"), "host")
+
+
+@query("select url, unnest([url || '/a', url || '/b']) as loc from pages")
+def sitemap_urls(t):
+    body = F.concat(F.lit("<urlset><url><loc> "), "url", F.lit("/a</loc></url><URL><LOC>"), "url", F.lit("/b\n</LOC></URL></urlset>"))
+    return robots.locations(t.pages.select("url", body.alias("body")))
+
+
+# Table upkeep.
+
+@query("with recursive a as (select 'p' || page_id f, 'p' || (case when page_id > 1 then page_id // 2 else 1 - page_id end) t from pages), w as (select f url, f target, [f] seen, 0 n from a union all select url, a.t, list_append(seen, a.t), n + 1 from w join a on a.f = w.target and not list_contains(seen, a.t) where n < 5) select url, arg_max(target, n) as target from w group by 1")
+def alias_resolve(t):
+    return S.resolve_aliases(t.aliases.select(F.col("from_url").alias("url")), t.aliases)
+
+
+@query("with a as (select 'p' || page_id f, 'p' || (case when page_id > 1 then page_id // 2 else 1 - page_id end) t from pages) select f as from_url, t as to_url from a where t in (select 'p' || doc_id from documents where doc_id % 2 = 0)")
+def alias_prune(t):
+    return S.prune_aliases(t.aliases, t.documents.where("doc_id % 2 = 0").select(F.concat(F.lit("p"), "doc_id").alias("url"))).select("from_url", "to_url")
+
+
+@query("with c as (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) r from orders where o_orderstatus = 'O'), l as (select o_custkey c_custkey, o_totalprice c_acctbal from c where r = 1) select c_custkey, coalesce(l.c_acctbal, c.c_acctbal) as c_acctbal from customer c left join l using (c_custkey) union select c_custkey, c_acctbal from l where c_custkey not in (select c_custkey from customer)")
+def upsert_docs(t):
+    changes = t.orders.where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"), "o_orderdate", "o_orderkey")
+    return S.upsert(t.customer.select("c_custkey", "c_acctbal"), changes, "c_custkey", [F.desc("o_orderdate"), F.desc("o_orderkey")])
+
+
+@query("select 'c' || doc_id as id, source as url, case when source = 'src1' and doc_id % 2 = 0 then md5(text || 'x') else md5(text) end as content_hash, case when source = 'src1' and doc_id % 2 = 0 then null else doc_id end as vector from documents where not (source = 'src1' and doc_id % 3 = 0)")
+def replace_chunks(t):
+    chunks = t.documents.select(F.concat(F.lit("c"), "doc_id").alias("id"), F.col("source").alias("url"), F.md5("text").alias("content_hash"), F.col("doc_id").alias("vector"))
+    changed = t.documents.where("source = 'src1' and doc_id % 3 <> 0")
+    changes = changed.select(F.concat(F.lit("c"), "doc_id").alias("id"), F.col("source").alias("url"), F.when(F.col("doc_id") % 2 == 0, F.md5(F.concat("text", F.lit("x")))).otherwise(F.md5("text")).alias("content_hash"), F.lit(None).cast("long").alias("vector"))
+    return S.replace_chunks(chunks, changes)
+
+
+@query("select doc_id from documents where doc_id not in (select vec_id from embeddings)")
+def chunks_missing_vector(t):
+    return t.documents.select("doc_id").join(t.vectors, "doc_id", "left_anti")
+
+
+@query("select page_id, url from pages where page_id not in (select doc_id from documents where doc_id % 2 = 0)")
+def frontier_antijoin(t):
+    return t.pages.select("page_id", "url").join(t.documents.where("doc_id % 2 = 0").select(F.col("doc_id").alias("page_id")), "page_id", "left_anti")
+
+
+_QUEUE = "q as (select 'https://h' || user_id || '/' || event_id url, (event_id % 5)::int depth, value % 1e0 priority, (['pending', 'active', 'done', 'error'])[event_id % 4 + 1] status, ts, event_id from events where event_id % 3 = 0)"
+
+
+@query(f"with {_QUEUE}, f as (select url, min(depth) d, max(priority) p from (select 'https://h' || user_id || '/' || event_id url, 1 depth, 0.5e0 priority from events where event_id % 2 = 0) group by 1) select coalesce(q.url, f.url) as url, least(depth, d)::int as depth, greatest(priority, p) as priority, case when q.url is null then 'pending' when f.url is not null and status in ('done', 'error') then 'pending' else status end as status from q full join f on q.url = f.url")
+def queue_enqueue(t):
+    found = t.events.where("event_id % 2 = 0").select(F.concat(F.lit("https://h"), "user_id", F.lit("/"), "event_id").alias("url"), F.lit(1).alias("depth"), F.lit(0.5).alias("priority"))
+    return S.enqueue(t.queue.select("url", "depth", "priority", "status"), found)
+
+
+@query(f"with {_QUEUE} select url, priority, 'active' as status, 1 as attempts from q where status = 'pending' order by priority desc, ts, url limit 50")
+def queue_claim(t):
+    return S.claim(t.queue, 50)
+
+
+@query("select 'h' || user_id as host, 'u' || event_id as url, ((row_number() over (partition by user_id order by ts, 'u' || event_id) - 1) * greatest(1000, (user_id % 3) * 1000))::bigint as at_ms from events")
+def politeness_schedule(t):
+    return S.polite_schedule(t.events.select(F.concat(F.lit("h"), "user_id").alias("host"), F.concat(F.lit("u"), "event_id").alias("url"), F.col("ts").alias("order"), (F.col("user_id") % 3 * 1000).alias("crawl_delay_ms")))
+
+
+_LIMIT = """with recursive e as (select user_id as key, event_id as id, epoch_ms(ts) t, row_number() over (partition by user_id order by epoch_ms(ts), event_id) n from events),
+w as (select key, id, n, t start, 1 used from e where n = 1 union all select e.key, e.id, e.n, case when e.t - w.start >= 21600000 then e.t else w.start end, case when e.t - w.start >= 21600000 then 1 else w.used + 1 end from w join e on e.key = w.key and e.n = w.n + 1)
+select key, id, used <= 3 as allowed, used::int as used from w"""
+
+
+@query(_LIMIT)
+def rate_limit(t):
+    return S.rate_limit(t.events.select(F.col("user_id").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t_ms"), F.col("event_id").alias("id")), 3, 6 * 3600 * 1000)
+
+
+@query("with r as (select user_id as key, value, ts + interval 1 day as expires_at, row_number() over (partition by user_id order by ts desc, event_id desc) n from events) select key, value from r where n = 1 and expires_at >= timestamp '2024-01-30 00:00:00'")
+def ttl_cache(t):
+    rows = t.events.select(F.col("user_id").alias("key"), "value", "ts", "event_id", F.expr("ts + interval 1 day").alias("expires_at"))
+    return S.live(rows, F.lit("2024-01-30 00:00:00").cast("timestamp_ntz"), [F.desc("ts"), F.desc("event_id")]).select("key", "value")
+
+
+@query("select event_type as status, count(*) as n, count(*) filter (where value > 50) as high, count(distinct user_id) as users from events group by 1")
+def status_histogram(t):
+    return t.events.groupBy(F.col("event_type").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("high"), F.countDistinct("user_id").alias("users"))
+
+
+_CHUNKS = f"""s as (select doc_id, {SENTENCES} xs from documents), r as (with recursive w as (select doc_id, xs, 0::bigint i, []::int[] done, 0 n, false open from s union all
+ select doc_id, xs, i + 1, case when (case when over then x else n + x end) >= 220 then list_append(case when over then list_append(done, n) else done end, case when over then x else n + x end) else (case when over then list_append(done, n) else done end) end,
+ case when (case when over then x else n + x end) >= 220 then 0 else (case when over then x else n + x end) end, not ((case when over then x else n + x end) >= 220)
+ from (select *, ceil(length(xs[i + 1]) / 4e0)::int x, open and n + ceil(length(xs[i + 1]) / 4e0)::int > 400 as over from w where i < len(xs))) select doc_id, case when open then list_append(done, n) else done end ns from w where i = len(xs)),
+c as (select doc_id, unnest(ns)::int tokens, generate_subscripts(ns, 1) - 1 ord from r)"""
+
+
+def _chunks(t):
+    chunk = t.documents.select("doc_id", F.posexplode(S.pack_sentences(T.sentences(F.col("text")))).alias("ord", "xs"))
+    tokens = F.aggregate(F.transform("xs", T.estimate_tokens), F.lit(0), lambda a, b: a + b)
+    return chunk.select("doc_id", F.col("ord").cast("long").alias("ord"), tokens.alias("tokens"))
+
+
+@query(f"with {_CHUNKS} select doc_id, ord, tokens from c")
+def chunk_pack(t):
+    return _chunks(t)
+
+
+@query(f"with {_CHUNKS}, q as (select tokens, row_number() over (order by tokens, doc_id, ord) - 1 i, count(*) over () n from c) select max(n) as chunks, {O.half_up('avg(tokens)')} as mean, " + ", ".join(f"max(tokens) filter (where i = least(n - 1, floor(n * {p}e0)))::int as p{k}" for k, p in (("05", 0.05), ("50", 0.5), ("95", 0.95))) + ", max(tokens)::int as most from q")
+def chunk_stats(t):
+    # Quantiles from the histogram of token counts, which has few distinct values.
+    h = _chunks(t).groupBy("tokens").agg(F.count(F.lit(1)).alias("k"))
+    total = h.agg(F.sum("k").alias("n"), F.sum(F.col("tokens") * F.col("k")).alias("s"), F.max("tokens").alias("most"))
+    upto = h.withColumn("upto", F.sum("k").over(Window.orderBy("tokens"))).crossJoin(F.broadcast(total))
+    pick = lambda p, k: F.min(F.when(F.col("upto") > F.least(F.col("n") - 1, F.floor(F.col("n") * p)), F.col("tokens"))).alias(f"p{k}")
+    return upto.agg(F.max("n").alias("chunks"), T.round_half_up(F.max(F.col("s") / F.col("n"))).alias("mean"), pick(0.05, "05"), pick(0.5, "50"), pick(0.95, "95"), F.max("most").alias("most"))
