@@ -8,7 +8,8 @@ make buckets: a pair at 0.8 shares none with odds of 5e-5.
 Texts with equal word sequences are one class before that. In a bucket every class is held against the bucket's first
 class, and the shingle sets of such a pair are compared in full (Jaccard 0.8 or more). What stars of this kind leave open
 are pairs of a bucket that fall into different components: their classes are searched with the exact prefix filter, in
-the order of rarity over those classes, so boilerplate does not make pairs and no link within a bucket is lost. No group
+the order of rarity over those classes, and an exact bound from parity bitmaps in the join itself, so boilerplate and
+texts just below the threshold do not make pairs and no link within a bucket is lost. No group
 is gathered in one task: buckets are aggregated and joined, components come from distributed star contraction.
 
 Defined results: words are runs of non-white-space bytes, A-Z lower-cased; texts of 1 to 4 words have one shingle; null,
@@ -120,6 +121,22 @@ def _explode(batches):
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(to)[row]), pa.array(g.astype(np.int64))], ["rep", "n", "g"])
 
 
+#: Words of 64 bits in a parity map.
+MAP = 16
+
+
+def _parity(batches):
+    """A map of 1024 bits for each class: which buckets get an odd number of its distinct shingles."""
+    for batch in batches:
+        data, off = text_bytes(batch.column("text"))
+        for a, b in runs(off, 1 << 20):
+            g, _, to = distinct(*shingles(data[off[a] : off[b]], off[a : b + 1] - off[a], WORDS))
+            bit = (mix(g.copy()) >> np.uint64(54)).astype(np.int64)
+            odd = (np.bincount(row_of(to) * MAP * 64 + bit, minlength=(b - a) * MAP * 64) & 1).astype(np.uint8)
+            longs = np.packbits(odd, bitorder="little").view("<i8").reshape(b - a, MAP)
+            yield pa.RecordBatch.from_arrays([batch.column("rep").slice(a, b - a), *(pa.array(longs[:, i].copy()) for i in range(MAP))], ["rep", *(f"m{i}" for i in range(MAP))])
+
+
 def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs (a, b) with both texts compared. texts: rep, text."""
     both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
@@ -201,9 +218,13 @@ def _prefix_pairs(rows: DataFrame, scratch: Scratch) -> DataFrame:
     prefix = shared.withColumn("left", left.cast("int")).where("left > 0").select("rep", "n", F.explode(F.slice("xs", F.lit(1), F.col("left"))).alias("x"))
     prefix = prefix.select("rep", "n", F.col("x.g").alias("g")).join(rows.select("rep", "c"), "rep")
     several = prefix.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
-    prefix = scratch.save(prefix.join(several, "g"), "prefix")
-    a, b = prefix.select("g", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), prefix.select("g", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    return a.join(b, "g").where((F.col("ca") < F.col("cb")) & (F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
+    maps = rows.select("rep", "text").mapInArrow(_parity, "rep bigint" + "".join(f", m{i} bigint" for i in range(MAP)))
+    prefix = scratch.save(prefix.join(several, "g").join(maps, "rep"), "prefix")
+    a, b = (prefix.select("g", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), *(F.col(f"m{i}").alias(f"{x}{i}") for i in range(MAP))) for x in "ab")
+    # Bits in which two maps differ are at most the shingles that one of the two has alone, and at 0.8 those are at most a ninth of both sizes.
+    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(MAP)), F.lit(0))
+    close = (differ <= (1 - THRESHOLD) / (1 + THRESHOLD) * (F.col("na") + F.col("nb")) + 1e-9) & (F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb") - 1e-9)
+    return a.join(b, (a["g"] == b["g"]) & (F.col("ca") < F.col("cb")) & close).select("a", "b").distinct()
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
