@@ -38,7 +38,7 @@ def signatures(h: np.ndarray, weight: np.ndarray, at: np.ndarray, registers: int
     row, time, turn = row_of(at), np.zeros(len(h)), 0
     while len(h):
         turn += 1
-        a = mix(h + np.uint64(turn * 0x9E3779B97F4A7C15 % (1 << 64)))
+        a = mix(h ^ np.uint64(turn * 0xD6E8FEB86659FD93 % (1 << 64)))
         b = mix(a ^ np.uint64(0xD1B54A32D192ED03))
         time = time - np.log(((a >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / weight
         to = row * registers + ((b >> np.uint64(32)) * np.uint64(registers) >> np.uint64(32)).astype(np.int64)
