@@ -2,6 +2,7 @@
 
 import json
 import os
+import sys
 import time
 
 from quarryspark.plans.catalog import QUERIES
@@ -20,6 +21,7 @@ def main() -> None:
         began = time.time()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - began, 3)
+        print(name, took[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf_dir.rstrip("/").rpartition("sf")[2]}))
     spark.stop()
 

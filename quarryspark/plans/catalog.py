@@ -28,7 +28,10 @@ class Tables:
         self.spark, self.dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        rows = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        # A text table in fewer files than cores would be tokenised by that few tasks.
+        return rows.repartition(cores) if name in ("documents", "embeddings") and len(rows.inputFiles()) < cores else rows
 
     @property
     def hosted(self) -> DataFrame:
