@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 from datetime import date
 
@@ -9,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import urls as U
+from .operators import answer as A
+from .operators import judge as J
 from .operators import retrieval as R
+from .operators import understand as Q
 from .plans import search as P
 from .sources import html
 
@@ -41,6 +45,25 @@ class SearchRequest:
     safe_search: bool = False
     include_answer: bool | str = False
     include_raw_content: bool | str = False
+    auto_parameters: bool = False
+    candidate_pool: int | None = None
+    max_rounds: int | None = None
+    # Accepted, without an effect on which rows come back.
+    include_domains_mode: str = "restrict"
+    exact_match: bool = False
+    country: str = ""
+    chunks_per_source: int = 1
+    include_images: bool = False
+    include_image_descriptions: bool = False
+    include_favicon: bool = False
+    include_usage: bool = False
+    include_published_date: bool = False
+    include_trace: bool = False
+    verify_citations: bool = True
+
+    @classmethod
+    def of(cls, request: dict | SearchRequest) -> SearchRequest:
+        return request if isinstance(request, SearchRequest) else cls.parse(request)
 
     @classmethod
     def parse(cls, body: dict) -> SearchRequest:
@@ -55,6 +78,10 @@ class SearchRequest:
                 errors.append((name, f"must be one of {', '.join(map(str, among))}"))
         if not isinstance(r.max_results, int) or not 0 <= r.max_results <= 50:
             errors.append(("max_results", "must be from 0 to 50"))
+        for name, low, high in (("candidate_pool", 1, 500), ("max_rounds", 1, 3)):
+            v = getattr(r, name)
+            if v is not None and (not isinstance(v, int) or not low <= v <= high):
+                errors.append((name, f"must be from {low} to {high}"))
         dates = {}
         for name in ("start_date", "end_date"):
             try:
@@ -77,26 +104,67 @@ class SearchRequest:
 
 
 class Engine:
-    """docs: doc_id, text, host, lang, published; vectors: doc_id, vector."""
+    """docs: doc_id, text, host, lang, published, and title where second rounds are wanted; vectors: doc_id, vector.
+
+    embedder: gives (item_id, vector) for queries (item_id, text), in the space of vectors; without one the search is lexical.
+    """
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, vectors: DataFrame):
-        self.spark, self.docs, self.vectors = spark, docs, vectors
+    def __init__(self, spark: SparkSession, docs: DataFrame, vectors: DataFrame | None = None, embedder: Callable[[DataFrame], DataFrame] | None = None):
+        self.spark, self.docs, self.vectors, self.embedder = spark, docs, vectors, embedder
+
+    def understand(self, requests: list[dict | SearchRequest]) -> DataFrame:
+        """The plan of each request; item_id is its place in the list."""
+        out = None
+        for i, r in enumerate(map(SearchRequest.of, requests)):
+            one = Q.understand(self._query(i, r), r.search_depth, r.auto_parameters, r.candidate_pool, r.max_rounds)
+            out = one if out is None else out.unionByName(one)
+        return out
 
     def search(self, requests: list[dict | SearchRequest], now: date) -> DataFrame:
-        """item_id is a request's place in the list. Requests with the same filters share a plan."""
-        parsed = [r if isinstance(r, SearchRequest) else SearchRequest.parse(r) for r in requests]
+        """item_id, position, doc_id, host, score, route, content[, raw_content] of every request; item_id is its place in the list."""
         out = None
-        for i, r in enumerate(parsed):
-            queries = self.spark.createDataFrame([(i, r.query)], "item_id bigint, text string")
-            since = r.start_date or (F.date_sub(F.lit(now), RANGES[r.time_range]) if r.time_range else None)
-            lit = lambda x: None if x is None else F.lit(x).cast("date") if isinstance(x, str) else x
-            pool = R.fuse([("lexical", R.LEXICAL_WEIGHT, R.bm25(queries, self.docs, R.POOL)), ("dense", R.DENSE_WEIGHT, R.dense(queries.join(self.vectors.withColumnRenamed("doc_id", "item_id"), "item_id").select("item_id", "vector"), self.vectors, R.POOL))])
-            passed = P.passes(self.docs, [*map(str, r.include_domains)], [*map(str, r.exclude_domains)], r.language if r.filter_by_language else "", lit(since), lit(r.end_date), r.filter_by_published_date, r.safe_search)
-            rows = P.page(P.judged(queries, self.docs, pool.join(passed.select("doc_id"), "doc_id", "left_semi")), r.max_results)
-            rows = rows.select("item_id", "position", "doc_id", "host", F.col("composite").alias("score"), "route")
+        for i, r in enumerate(map(SearchRequest.of, requests)):
+            page = self._page(i, r, now)
+            raw = {"text": 20_000, "markdown": 6_000}.get(r.include_raw_content)
+            rows = A.shaped(page, self.docs, raw).join(page.select("item_id", "doc_id", "host"), ["item_id", "doc_id"])
+            rows = rows if raw else rows.withColumn("raw_content", F.lit(None).cast("string"))
             out = rows if out is None else out.unionByName(rows)
         return out
 
+    def answer(self, requests: list[dict | SearchRequest], now: date) -> DataFrame:
+        """item_id, answer, n_claims, n_dropped, reason: an answer from the results, or why it is withheld."""
+        out = None
+        for i, r in enumerate(map(SearchRequest.of, requests)):
+            page, query = self._page(i, r, now), self._query(i, r)
+            written = A.write(A.claims(page, query, self.docs), query)
+            rows = written.join(J.verdicts(page, query).select("item_id", "reason"), "item_id")
+            rows = rows.withColumn("answer", F.when(F.col("reason").isNull(), F.col("answer")))
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    def _query(self, i: int, r: SearchRequest) -> DataFrame:
+        return self.spark.createDataFrame([(i, r.query)], "item_id bigint, text string")
+
+    def _page(self, i: int, r: SearchRequest, now: date) -> DataFrame:
+        queries, plan = self._query(i, r), self.understand([r]).first()  # one row
+        lists = [("lexical", R.LEXICAL_WEIGHT, R.bm25(queries, self.docs, R.POOL))]
+        if self.vectors is not None and self.embedder is not None:
+            lists.append(("dense", R.DENSE_WEIGHT, R.dense(self.embedder(queries), self.vectors, R.POOL)))
+        found = R.fuse(lists)
+        lit = lambda x: None if x is None else F.lit(x).cast("date") if isinstance(x, str) else x
+        since = r.start_date or (F.date_sub(F.lit(now), RANGES[r.time_range]) if r.time_range else None)
+        docs = P.passes(self.docs, [*map(str, r.include_domains)], [*map(str, r.exclude_domains)], r.language if r.filter_by_language else "", lit(since), lit(r.end_date), r.filter_by_published_date, r.safe_search)
+        if plan["rounds"] > 1 and "title" in self.docs.columns:
+            more = P.second_round(queries, self.docs, found, plan["pool"]).select("item_id", "doc_id", "rank")
+            known = found.drop("rank")
+            found = more.join(known, ["item_id", "doc_id"], "left")
+            # What only the second round found came by its words.
+            found = found.withColumn("lexical", F.coalesce("lexical", F.when(F.col("fused").isNull(), 1.0))).withColumn("channels", F.coalesce("channels", F.lit(1)))
+        found = found.where(F.col("rank") <= plan["pool"]).join(docs.select("doc_id"), "doc_id", "left_semi")
+        near = R.collapse_near(found, R.simhash_bits(self.docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")))
+        found = found.join(near.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_semi")
+        return P.page(P.judged(queries, self.docs, found), r.max_results)
+
     def extract(self, pages: DataFrame) -> DataFrame:
         """A row per page with its status: ok, or what was wrong."""
         found = html.extract(pages)

@@ -96,3 +96,28 @@ def pack_sentences(sentences: Column, target: int = 220, most: int = 400) -> Col
         return F.struct(F.when(full, F.concat(done, F.array(open_))).otherwise(done).alias("done"), F.when(full, F.array().cast("array<string>")).otherwise(open_).alias("open"), F.when(full, 0).otherwise(total).alias("n"))
 
     return F.aggregate(sentences, init, step, lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]))
+
+
+def complete(queue: DataFrame, done: DataFrame) -> DataFrame:
+    """The queue with the status and error of what was worked off. done: url, status, error, each url once."""
+    new = done.select("url", F.col("status").alias("_s"), F.col("error").alias("_e"))
+    out = queue.drop("error").join(new, "url", "left")
+    return out.withColumn("status", F.coalesce("_s", "status")).withColumnRenamed("_e", "error").drop("_s")
+
+
+def host_cap(rows: DataFrame, order: list, most: int = 500) -> DataFrame:
+    """Marks what a host has beyond `most` pages as skipped. rows: host, url."""
+    return rows.withColumn("skipped", F.row_number().over(Window.partitionBy("host").orderBy(*order)) > most)
+
+
+def admit(requests: DataFrame, keys: DataFrame, limit: int, window_ms: int) -> DataFrame:
+    """requests: key, t_ms, id: (id, status) with 401 for unknown keys, 429 beyond the limit, else 200. A refused key uses up nothing."""
+    known = requests.join(keys.select("key").distinct(), "key", "left_semi")
+    status = F.when(F.col("allowed"), 200).otherwise(429)
+    out = rate_limit(known, limit, window_ms).select("id", status.alias("status"))
+    return out.unionByName(requests.join(keys.select("key").distinct(), "key", "left_anti").select("id", F.lit(401).alias("status")))
+
+
+def latest_trace(traces: DataFrame, trace_id: str) -> DataFrame:
+    """The last one saved under an id. traces: trace_id, saved_at, body."""
+    return traces.where(F.col("trace_id") == trace_id).orderBy(F.desc("saved_at")).limit(1)

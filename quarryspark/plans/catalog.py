@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import markdown as M
 from ..functions import text as T
 from ..functions import urls as U
+from ..operators import answer as A
+from ..operators import chunks as C
 from ..operators import judge as J
 from ..operators import retrieval as R
 from ..operators import store as S
+from ..operators import understand as Q
 from ..sources import html, robots
 from . import oracle as O
 from . import search as P
@@ -505,3 +509,100 @@ def chunk_stats(t):
     upto = h.withColumn("upto", F.sum("k").over(Window.orderBy("tokens"))).crossJoin(F.broadcast(total))
     pick = lambda p, k: F.min(F.when(F.col("upto") > F.least(F.col("n") - 1, F.floor(F.col("n") * p)), F.col("tokens"))).alias(f"p{k}")
     return upto.agg(F.max("n").alias("chunks"), T.round_half_up(F.max(F.col("s") / F.col("n"))).alias("mean"), pick(0.05, "05"), pick(0.5, "50"), pick(0.95, "95"), F.max("most").alias("most"))
+
+
+# Understanding, second round, answers.
+
+@query(f"with {O.UNDERSTAND} select item_id, complexity, horizon, ambiguity, strategy, exact_phrase, constrained, depth, pool, rounds from un")
+def understand_query(t):
+    return Q.understand(t.benchmark).drop("text")
+
+
+@query(f"select item_id, {O.expected(Q.COMPLEXITY, O.judged('complexity'))} as level, {O.spread_list(Q.HORIZON, O.judged('time_horizon'))} as p from benchmark".replace("select item_id,", "with s as (select item_id,", 1) + f") select item_id, level, {O.half_up('p[1]', 6)} as first, {O.half_up('1 + list_sum(list_transform(p, lambda x: x * ln(x))) / ln(len(p))', 6)} as confidence from s")
+def expected_level(t):
+    rows = t.benchmark.select("item_id", Q.expected_level(Q.COMPLEXITY, Q.judged("complexity")).alias("level"), Q.spread(Q.HORIZON, Q.judged("time_horizon")).alias("p"))
+    return rows.select("item_id", "level", T.round_half_up(F.col("p")[0], 6).alias("first"), T.round_half_up(Q.entropy_confidence(F.col("p")), 6).alias("confidence"))
+
+
+_TITLE = "left(text, 60) || ' | ' || source"
+
+
+def _titled(t):
+    return t.documents.select("doc_id", "text", F.concat(F.substring("text", 1, 60), F.lit(" | "), "source").alias("title"))
+
+
+@query(f"select d.doc_id, array_to_string({O.follow_ups('d.text', '[' + _TITLE + ', text, source]')}, '|') as asked from documents d")
+def follow_up_queries(t):
+    return _titled(t).join(t.documents.select("doc_id", "source"), "doc_id").select("doc_id", F.concat_ws("|", P.follow_ups(F.col("text"), F.array("title", "text", "source"))).alias("asked"))
+
+
+@query(O.second_round(_TITLE, 20, 30))
+def second_round(t):
+    docs = _titled(t)
+    return P.second_round(t.benchmark, docs, R.bm25(t.benchmark, docs, 20), 30)
+
+
+_CLAIM = f"""{O.PAGE}, ev as (select item_id, position, doc_id, text, list_distinct({O.content_words("(select b.text from benchmark b where b.item_id = pg.item_id)")}) q from pg join documents using (doc_id) where route = 'include' and position <= 5),
+es as (select item_id, position, unnest(list_filter({SENTENCES}, lambda x: length(x) >= 30)[1:8]) span, generate_subscripts(list_filter({SENTENCES}, lambda x: length(x) >= 30)[1:8], 1) i, q from ev),
+eo as (select item_id, position, span, i, len(list_filter(q, lambda w: list_contains({O.content_words('span')}, w))) o from es), eb as (select item_id, position, arg_max(span, o * 1000 - i) span, max(o) o from eo group by 1, 2),
+ec as (select ev.item_id, position, doc_id, text, coalesce(o, 0)::int overlap, {O.truncate("case when o > 0 then span else text end", 300)} claim from ev left join eb using (item_id, position)),
+ek as (select item_id, position::int position, doc_id, claim, overlap, {O.half_up('0.12e0 + 0.85e0 * ' + O.affinity(O.content_words('claim'), O.content_words('text'), 'text'))} support from ec)"""
+
+
+@query(f"with {_CLAIM} select item_id, position, doc_id, claim, overlap, support, support >= 0.7e0 as kept from ek")
+def answer_claims(t):
+    return A.claims(P.page(t.judged), t.benchmark, t.documents)
+
+
+@query(f"with {_CLAIM}, aw as (select item_id, string_agg(claim || ' [' || position || ']', ' ' order by position) filter (where support >= 0.7e0 and overlap > 0) answer, count(*) filter (where support >= 0.7e0 and overlap > 0) n, count(*) n_all from ek group by 1) select b.item_id, answer, coalesce(n, 0) as n_claims, coalesce(n_all - n, 0) as n_dropped from benchmark b left join aw using (item_id)")
+def extractive_answer(t):
+    return A.write(A.claims(P.page(t.judged), t.benchmark, t.documents), t.benchmark)
+
+
+@query(f"with {O.PAGE} select item_id, position::int as position, doc_id, {O.truncate('text', 1500)} as content, {O.truncate('text', 6000)} as raw_content, composite as score, case when route = 'exclude' then 'excluded' else route end as route from pg join documents using (doc_id) where position <= 10")
+def shape_results(t):
+    return A.shaped(P.page(t.judged), t.documents)
+
+
+@query(f"with {O.PAGE}, {_GOLD}, ret as (select distinct item_id, doc_id, host from pg where position <= 10), gh as (select item_id, doc_id, {O.HOST} host from gold join documents using (doc_id)), f as (select b.item_id, case when b.item_id in (select gh.item_id from gh join ret using (item_id, doc_id)) then 'returned' when b.item_id in (select gh.item_id from gh join ret using (item_id, host)) then 'sibling' when b.item_id in (select item_id from gh) then 'elsewhere' else 'absent' end bucket from benchmark b) select bucket, count(*) as n from f group by 1")
+def fact_buckets(t):
+    gold = t.hosted.select("doc_id", "host", F.col("text").alias("f")).join(R.small(t.benchmark), F.expr("contains(f, text)")).select("item_id", "doc_id", "host")
+    page = P.page(t.judged).select("item_id", F.col("doc_id").alias("got"), F.col("host").alias("got_host"))
+    near = gold.join(page, "item_id", "left").groupBy("item_id").agg(F.max(F.when(F.col("doc_id") == F.col("got"), 3).when(F.col("host") == F.col("got_host"), 2).otherwise(1)).alias("x"))
+    bucket = F.when(F.col("x") == 3, "returned").when(F.col("x") == 2, "sibling").when(F.col("x") == 1, "elsewhere").otherwise("absent")
+    return t.benchmark.select("item_id").join(near, "item_id", "left").groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Chunks under headings, markdown, dates.
+
+@query(f"with {_CHUNKS} select lower(substr(sha1(doc_id::varchar), 1, 10)) || '-' || ord as id, doc_id::varchar as url, ord, source as heading, tokens from c join documents using (doc_id) where ord < 10")
+def chunk_documents(t):
+    docs = t.documents.select(F.col("doc_id").cast("string").alias("url"), F.col("source").alias("title"), F.col("text").alias("markdown"))
+    return C.chunk_documents(docs).where("ord < 10").select("id", "url", "ord", F.concat_ws(" > ", "heading_path").alias("heading"), "tokens")
+
+
+@query(rf"select page_id, unnest(list_distinct([regexp_replace(url, '#.*$', ''), 'https://example.org/' || page_id])) as link from pages where not regexp_matches(url, '[)\s]') and regexp_matches(url, '^https?://')")
+def internal_links(t):
+    text = F.concat(F.lit("see ["), "page_id", F.lit("]("), "url", F.lit(") and [x](https://example.org/"), "page_id", F.lit("#top), [y](mailto:z)"))
+    return t.pages.where(~F.col("url").rlike(r"[)\s]") & F.col("url").rlike("^https?://")).select("page_id", F.explode(M.internal_links(text)).alias("link"))
+
+
+@query("with d as (select doc_id, date '2024-01-01' + (doc_id % 365)::int d from documents) select doc_id, case doc_id % 6 when 0 then strftime(d, '%Y-%m-%d 00:00:00') when 1 then strftime(d, '%Y-%m-%d 10:20:30') when 2 then strftime(d, '%Y-%m-%d 08:09:10') when 3 then strftime(d, '%Y-%m-01 00:00:00') when 4 then '2024-01-01 00:00:00' end as published from d")
+def normalize_dates(t):
+    d = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("doc_id", F.lit(365)).cast("int"))
+    f, k = lambda p: F.date_format(d, p), F.col("doc_id") % 6
+    said = F.when(k == 0, f("yyyy-MM-dd")).when(k == 1, f("yyyy-MM-dd'T10:20:30Z'")).when(k == 2, f("EEE, dd MMM yyyy '08:09:10 GMT'")).when(k == 3, f("yyyy-MM")).when(k == 4, F.lit("2024")).otherwise("last spring")
+    return t.documents.select("doc_id", F.date_format(M.normal_date(said), "yyyy-MM-dd HH:mm:ss").alias("published"))
+
+
+# Admission, host caps.
+
+@query(_LIMIT.replace("from events)", "from events where user_id % 3 <> 0)").replace("select key, id, used <= 3 as allowed, used::int as used from w", "select id, case when used <= 3 then 200 else 429 end as status from w union all select event_id, 401 from events where user_id % 3 = 0"))
+def auth_then_limit(t):
+    requests = t.events.select(F.col("user_id").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t_ms"), F.col("event_id").alias("id"))
+    return S.admit(requests, t.events.where("user_id % 3 <> 0").select(F.col("user_id").alias("key")), 3, 6 * 3600 * 1000)
+
+
+@query("select event_id, row_number() over (partition by user_id order by ts, event_id) > 5 as skipped from events")
+def host_page_cap(t):
+    return S.host_cap(t.events.select(F.col("user_id").alias("host"), "event_id", "ts"), [F.col("ts"), F.col("event_id")], 5).select("event_id", "skipped")

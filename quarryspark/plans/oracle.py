@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions import text as T
 from ..operators import judge as J
+from ..operators import understand as Q
 
 
 def quote(s: str) -> str:
@@ -129,3 +132,44 @@ GATE = f"""{RERANK}, gs as (select *, {noul('0.15e0 + 0.8e0 * aff', 'g_relevant'
 ga as (select *, case when g_injection > 0.5e0 then 'exclude' when g_advertisement > 0.7e0 then 'exclude' when g_contradicts > 0.7e0 then 'conflicting' when g_relevant < 0.45e0 then 'exclude' when g_evidence < 0.55e0 then 'exclude' else 'include' end route from gs)"""
 PAGE = f"""{GATE}, cp as (select *, row_number() over (partition by item_id, host order by (route <> 'include')::int, composite desc, doc_id) in_domain from ga where keep and route <> 'exclude'),
 pg as (select *, row_number() over (partition by item_id order by (route <> 'include')::int, composite desc, doc_id) position from cp where in_domain <= 2)"""
+
+
+def truncate(x: str, most: int) -> str:
+    return rf"(case when length({x}) > {most} then regexp_replace(left({x}, {most - 1}), '\s+$', '') || '…' else {x} end)"
+
+
+def judged(name: str) -> str:
+    return half_up(clamp(f"{Q.BASES[name]}e0 + (('0x' || substr(sha256(item_id::varchar || '|{name}'), 1, 2))::int / 255e0 - 0.5e0) * 0.12e0"))
+
+
+def spread_list(n: int, peak: str) -> str:
+    raw = f"list_transform(range(0, {n}), lambda i: greatest(0.02e0, (1 - abs(i / {n - 1}e0 - {peak})) * (1 - abs(i / {n - 1}e0 - {peak}))))"
+    return f"list_transform({raw}, lambda w: w / list_sum({raw}))"
+
+
+def expected(n: int, peak: str) -> str:
+    w = [f"greatest(0.02e0, (1 - abs({i / (n - 1)!r}::double - {peak})) * (1 - abs({i / (n - 1)!r}::double - {peak})))" for i in range(n)]
+    return half_up(f"({' + '.join(f'{x} * {i}e0' for i, x in enumerate(w))}) / ({' + '.join(w)})")
+
+
+UNDERSTAND = f"""us as (select item_id, text, {", ".join(f"{judged(k)} {k}" for k in Q.BASES)} from benchmark),
+ul as (select *, {expected(Q.COMPLEXITY, 'complexity')} level, {expected(Q.HORIZON, 'time_horizon')} fresh, {spread_list(len(Q.STRATEGIES), 'strategy')} ps from us),
+ud as (select *, [{', '.join(map(quote, Q.STRATEGIES))}][list_position(ps, list_max(ps))] chosen, greatest(1, floor(level + 0.5e0)::int) lv from ul),
+un as (select item_id, floor(level + 0.5e0)::int complexity, floor(fresh + 0.5e0)::int horizon, ambiguity, chosen strategy, exact_phrase > 0.5e0 or len({QUOTED}) > 0 exact_phrase, "constraint" > 0.5e0 constrained,
+ [{', '.join(map(quote, Q.DEPTHS))}][lv + 1] depth, floor([{', '.join(map(str, Q.POOLS.values()))}][lv + 1] * (case when ambiguity > 0.6e0 then 1.4e0 else 1e0 end) + 0.5e0)::int pool,
+ case when multi_round > 0.55e0 or chosen = 'decomposition' or fresh >= 2.5e0 then 2 else 1 end rounds from ud)""".replace(" constraint from", ' "constraint" from').replace(" constraint,", ' "constraint",')
+
+
+def follow_ups(query: str, titles: str) -> str:
+    cut = rf"list_transform({titles}, lambda x: trim(regexp_replace(x, '\s*[|—–-]\s*[^|—–-]{{0,40}}$', '')))"
+    return f"list_filter({cut}, lambda x: length(x) between 8 and 120 and lower(x) <> lower({query}))[1:2]"
+
+
+def second_round(title: str, first: int, pool: int) -> str:
+    tail = re.sub(r"\b(part|bm|lex|asked)\b", r"\g<1>2", BM25[BM25.index("part as (") :])
+    return f"""with {BM25}, fst as (select item_id, doc_id, rank from lex where rank <= {first}), tt as (select item_id, list({title} order by rank) ts from fst join documents using (doc_id) where rank <= 6 group by 1),
+fu as (select item_id item, unnest(list_distinct({follow_ups('b.text', 'ts')})) as text from tt join benchmark b using (item_id)), asked2 as (select item || '|' || text item_id, unnest({QUERY_TERMS}) term from fu), {tail},
+fx as (select item item_id, doc_id, {half_up(f'sum(1e0 / ({60} + rank))', 8)} f from lex2 join fu on lex2.item_id = item || '|' || text where rank <= {pool} group by 1, 2),
+sr as (select *, row_number() over (partition by item_id order by f desc, doc_id) r from fx),
+bo as (select item_id, doc_id, 1 as round, rank r from fst union all select item_id, doc_id, 2, r from sr where r <= {pool} and (item_id, doc_id) not in (select item_id, doc_id from fst)),
+rk as (select item_id, doc_id, round, row_number() over (partition by item_id order by round, r, doc_id)::int rank from bo) select item_id, doc_id, round, rank from rk where rank <= {pool}"""

@@ -57,3 +57,26 @@ def search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, limit: int =
     return page(judged(queries, docs, candidates(queries, docs, vectors)), limit).select("item_id", "position", "doc_id", "host", F.col("composite").alias("score"), "route", "channels")
 
 
+
+# How a title loses its site's name, and how long a follow-up may be.
+SITE, SHORTEST, LONGEST, TITLES, FOLLOW_UPS = r"\s*[|—–-]\s*[^|—–-]{0,40}$", 8, 120, 6, 2
+
+
+def follow_ups(query, titles, most: int = FOLLOW_UPS):
+    """Queries for a second round: titles without the site's name, none that is the query itself."""
+    cut = F.transform(titles, lambda x: F.trim(F.regexp_replace(x, SITE, "")))
+    fit = F.filter(cut, lambda x: F.length(x).between(SHORTEST, LONGEST) & (F.lower(x) != F.lower(query)))
+    return F.array_distinct(F.slice(fit, 1, most))
+
+
+def second_round(queries: DataFrame, docs: DataFrame, first: DataFrame, pool: int = R.POOL) -> DataFrame:
+    """(item_id, doc_id, round, rank): the first round's rows, then what its best titles find besides. docs: doc_id, text, title; first: item_id, doc_id, rank."""
+    heads = first.where(F.col("rank") <= TITLES).join(docs.select("doc_id", "title"), "doc_id")
+    titles = heads.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("rank", "title"))).alias("xs"))  # TITLES rows at most
+    asked = queries.join(titles, "item_id").select("item_id", F.posexplode(follow_ups(F.col("text"), F.transform("xs", lambda x: x["title"]))).alias("i", "text"))
+    found = R.bm25(asked.select((F.col("item_id") * FOLLOW_UPS + F.col("i")).alias("item_id"), "text"), docs, pool)
+    second = R.fuse([("lexical", R.LEXICAL_WEIGHT, found.withColumn("item_id", F.floor(F.col("item_id") / FOLLOW_UPS).cast("long")))], pool)
+    new = second.join(first.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_anti")
+    both = first.select("item_id", "doc_id", F.lit(1).alias("round"), "rank").unionByName(new.select("item_id", "doc_id", F.lit(2).alias("round"), "rank"))
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy("round", "rank", "doc_id"))
+    return both.withColumn("rank", place).where(F.col("rank") <= pool)
