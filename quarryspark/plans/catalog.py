@@ -575,10 +575,13 @@ def fact_buckets(t):
 
 # Chunks under headings, markdown, dates.
 
-@query(f"with {_CHUNKS} select lower(substr(sha1(doc_id::varchar), 1, 10)) || '-' || ord as id, doc_id::varchar as url, ord, source as heading, tokens from c join documents using (doc_id) where ord < 10")
+_DIGIT = "substr('0123456789abcdefghijklmnopqrstuvwxyz', (ord // {} % 36 + 1)::int, 1)"
+_BASE36 = f"ltrim({' || '.join(_DIGIT.format(36**k) for k in (4, 3, 2, 1))}, '0') || {_DIGIT.format(1)}"
+
+@query(f"with {_CHUNKS} select lower(substr(sha1(doc_id::varchar), 1, 10)) || '-' || {_BASE36} as id, doc_id::varchar as url, ord, source as heading, tokens from c join documents using (doc_id)")
 def chunk_documents(t):
     docs = t.documents.select(F.col("doc_id").cast("string").alias("url"), F.col("source").alias("title"), F.col("text").alias("markdown"))
-    return C.chunk_documents(docs).where("ord < 10").select("id", "url", "ord", F.concat_ws(" > ", "heading_path").alias("heading"), "tokens")
+    return C.chunk_documents(docs).select("id", "url", "ord", F.concat_ws(" > ", "heading_path").alias("heading"), "tokens")
 
 
 @query(rf"select page_id, unnest(list_distinct([regexp_replace(url, '#.*$', ''), 'https://example.org/' || page_id])) as link from pages where not regexp_matches(url, '[)\s]') and regexp_matches(url, '^https?://')")
