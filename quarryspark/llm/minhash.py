@@ -2,8 +2,10 @@
 
 Shingles of five words weigh 1 + ln(count). Each sends arrivals of a Poisson process of its weight to random registers;
 a register keeps the shingle that arrives first, and a text is done as soon as no later arrival can be first anywhere.
-Two texts agree in a register with the probability Jaccard similarity of their weighted shingles. 25 bands of 5 registers
-make buckets: a pair at 0.8 shares none with odds of 5e-5.
+Two texts agree in a register with the probability Jaccard similarity of their weighted shingles, which for weights of 1
+is the plain Jaccard similarity of their sets. 25 bands of 5 registers make buckets, and texts with repeated shingles get
+the 25 of unit weights besides (without repeats both are the same): a pair at a plain 0.8 shares none of those with odds of
+5e-5, however often one of the two repeats a line.
 
 Texts with equal word sequences are one class before that. In a bucket every class is held against the bucket's first
 class, and the shingle sets of such a pair are compared in full (Jaccard 0.8 or more). What stars of this kind leave open
@@ -59,6 +61,20 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     return key
 
 
+def bands(h: np.ndarray, count: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's distinct band keys, and the rows' offsets among them: those of weights 1 + ln(count), and where a shingle repeats those of unit weights too."""
+    keys = band_keys(signatures(h, 1 + np.log(count), at, BANDS * ROWS))
+    row = row_of(at)
+    again = np.unique(row[count > 1])
+    on = np.isin(row, again)
+    unit = band_keys(signatures(h[on], np.ones(on.sum()), np.concatenate([[0], np.cumsum(np.diff(at)[again])]), BANDS * ROWS))
+    both, new = np.concatenate([keys, np.zeros_like(keys)], 1), np.zeros(keys.shape, bool)
+    both[again, BANDS:] = unit
+    new[again] = unit != keys[again]
+    valid = np.concatenate([np.ones(keys.shape, bool), new], 1)
+    return both[valid], np.concatenate([[0], np.cumsum(valid.sum(1))])
+
+
 def _prepare(batches):
     """Content key and band keys of every row."""
     for batch in batches:
@@ -75,10 +91,11 @@ def _prepare(batches):
             _, one, back = np.unique(content[0] ^ (content[1] << np.uint64(1)), return_index=True, return_inverse=True)
             g, to = _take(*shingles(part, to, WORDS), one)
             g, count, to = distinct(g, to)
-            keys = band_keys(signatures(g, 1 + np.log(count), to, BANDS * ROWS))[back]
-            flat = pa.array(keys.astype(np.int64).ravel())
+            keys, ends = bands(g, count, to)
+            keys, ends = _take(keys, ends, back)
+            flat = pa.array(keys.astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, b - a), pa.array(content[0].astype(np.int64)), pa.array(content[1].astype(np.int64)), pa.array(n), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), flat)],
+                [batch.column("doc_id").slice(a, b - a), pa.array(content[0].astype(np.int64)), pa.array(content[1].astype(np.int64)), pa.array(n), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)],
                 ["doc_id", "c0", "c1", "n_words", "bands"],
             )
 

@@ -102,6 +102,21 @@ def test_links_of_near_copies_just_around_the_threshold(spark):
     assert got == brute_classes(rows)
 
 
+def test_near_copies_of_which_one_repeats_lines(spark):
+    """Plain Jaccard similarities of 0.8 and more whose counts differ much."""
+    r = np.random.default_rng(4)
+    rows = []
+    for i in range(60):
+        w = [f"w{x}" for x in r.integers(0, 10**6, 100)]
+        line = w[20:44]
+        rows.append((2 * i, " ".join(w)))
+        rows.append((2 * i + 1, " ".join(w[:44] + line * 100 + w[44 : 100 - i % 9])))
+    want = brute_classes(rows)
+    assert sum(want[2 * i] == want[2 * i + 1] for i in range(60)) >= 50
+    got = {x["doc_id"]: x["class_id"] for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert got == want
+
+
 # 2
 
 def test_url_rules_and_classifier(spark):
