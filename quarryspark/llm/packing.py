@@ -3,10 +3,12 @@
 A document's ids are those of a tokenizer, then one end id. Whole windows are cut off its head; what remains, shorter
 than a window, is one item. Only the counts of the remaining lengths matter to the plan, at most window-1 numbers
 whatever the corpus: the largest length left opens a window, a subset-sum over a bitset finds the multiset of lengths
-that fills it closest to capacity, and that pattern is used as often as its counts allow, so there are fewer patterns
-than lengths. A window that no multiset fills to within `slack` ids is not used; its opening length is cut into powers
-of two, which need no padding. Documents get places by their rank among those of one length; ranks come from counts by
-file part, so a length that a third of all documents share is dealt out like any other.
+that fills it closest to capacity, and that pattern is used as often as its counts allow, so there are about as many
+patterns as lengths. A window that no multiset fills to within `slack` ids is filled by the head of one more item, of the length
+that has the most left; its tail goes back to the counts as an item of what is left of it, and may be split again. Only the
+last items, too few for a window, are cut into powers of two, which need no padding. Items get places by their rank among
+those of one length: documents by counts of file parts, tails after them in the order of their windows, so a length that a
+third of all documents share is dealt out like any other.
 
 Defined results: null text counts as empty (one piece with the end id); repeated rows are packed each; an empty table
 gives no rows; extra columns are ignored; texts of any length are cut at whole windows.
@@ -15,6 +17,7 @@ gives no rows; extra columns are ignored; texts of any length are cut at whole w
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -27,7 +30,8 @@ from .common import Scratch
 
 WINDOW, SLACK = 1024, 16
 _PIECES = "array<struct<start:bigint,length:bigint,crc:bigint>>"
-_TOKENS = f"doc_id bigint, doc_tokens bigint, whole {_PIECES}, rest bigint, rest_start bigint, rest_crc bigint, bits {_PIECES}, part int, row bigint"
+_TOKENS = f"doc_id bigint, doc_tokens bigint, whole {_PIECES}, rest bigint, rest_start bigint, rest_crc bigint, ids binary, part int, row bigint"
+_PLACED = "array<struct<start:bigint,length:bigint,crc:bigint,sequence_id:bigint,offset:bigint>>"
 
 
 def default_tokenizer() -> str:
@@ -83,7 +87,7 @@ def _crc(ids: np.ndarray) -> int:
 
 
 def tokenized(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = 0) -> DataFrame:
-    """Lengths and checksums of every document's pieces: whole windows, the rest, and the rest cut into powers of two."""
+    """Lengths and checksums of every document's whole windows and its rest, and the ids of the rest."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -93,24 +97,20 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None, window: int = WINDO
         for batch in batches:
             ids_in, texts = batch.column("doc_id"), batch.column("text")
             for a in range(0, len(batch), 500):
-                out = {k: [] for k in ("doc_tokens", "whole", "rest", "rest_start", "rest_crc", "bits")}
+                out = {k: [] for k in ("doc_tokens", "whole", "rest", "rest_start", "rest_crc", "ids")}
                 for t in texts.slice(a, 500):
                     x = np.append(encode(t.as_py() or ""), np.array([end_id], "<u4"))
                     cut = len(x) // window * window
-                    rest, at, bits = x[cut:], cut, []
-                    for b in (1 << i for i in range(window.bit_length() - 1, -1, -1)):
-                        if len(rest) & b:
-                            bits.append({"start": at, "length": b, "crc": _crc(x[at : at + b])})
-                            at += b
+                    rest = x[cut:]
                     out["doc_tokens"].append(len(x))
                     out["whole"].append([{"start": s, "length": window, "crc": _crc(x[s : s + window])} for s in range(0, cut, window)])
                     out["rest"].append(len(rest))
                     out["rest_start"].append(cut)
                     out["rest_crc"].append(_crc(rest))
-                    out["bits"].append(bits)
+                    out["ids"].append(rest.tobytes())
                 n = len(out["rest"])
                 piece = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64())]))
-                kinds = {"whole": piece, "bits": piece}
+                kinds = {"whole": piece, "ids": pa.binary()}
                 cols = [pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()]
                 yield pa.RecordBatch.from_arrays([ids_in.slice(a, 500), *cols, pa.array([part] * n, pa.int32()), pa.array(range(row, row + n), pa.int64())], ["doc_id", *out, "part", "row"])
                 row += n
@@ -143,25 +143,81 @@ def closest(counts: np.ndarray, capacity: int) -> Counter:
     return out
 
 
-def plan(counts: np.ndarray, window: int = WINDOW, slack: int = SLACK) -> tuple[list[tuple[Counter, int]], dict[int, int]]:
-    """Patterns with their numbers of windows, and lengths with the numbers of items to cut into powers of two."""
+class Pattern(Counter):
+    """Lengths that share a window, with their numbers. split: the length of one more item whose head fills the window, and the head's length."""
+
+    split: tuple[int, int] | None = None
+
+
+def plan(counts: np.ndarray, window: int = WINDOW, slack: int = SLACK) -> tuple[list[tuple[Pattern, int]], dict[int, int]]:
+    """Patterns with their numbers of windows, and lengths with the numbers of items to cut into powers of two: less than a window in all."""
     counts, patterns, cut = counts.astype(np.int64).copy(), [], {}
     while counts.any():
         top = int(np.flatnonzero(counts)[-1])
         counts[top] -= 1
-        pattern = closest(counts, window - top)
+        pattern = Pattern(closest(counts, window - top))
         counts[top] += 1
         pattern[top] += 1
-        if sum(n * k for n, k in pattern.items()) < window - slack:
-            cut[top], counts[top] = int(counts[top]), 0
-            continue
-        times = min(int(counts[n]) // k for n, k in pattern.items())
-        for n, k in pattern.items():
+        gap, need = window - sum(n * k for n, k in pattern.items()), Counter(pattern)
+        if gap > slack:
+            left = counts.copy()
+            for n, k in pattern.items():
+                left[n] -= k
+            if not left.any():
+                cut = {int(n): int(counts[n]) for n in np.flatnonzero(counts)}
+                break
+            most = int(left.argmax())  # longer than the gap, as the pattern would hold it otherwise
+            pattern.split, need = (most, gap), need + Counter([most])
+        times = min(int(counts[n]) // k for n, k in need.items())
+        for n, k in need.items():
             counts[n] -= k * times
+        if pattern.split:
+            counts[pattern.split[0] - gap] += times
         patterns.append((pattern, times))
     return patterns, cut
 
 
+def schedule(counts: np.ndarray, patterns: list[tuple[Pattern, int]]) -> tuple[dict[int, list[tuple]], int]:
+    """For each length, runs of ranks in their order, and the number of planned windows.
+
+    A run has its first rank, the items a window takes, the first window, the offset in it, how many ids of an item go
+    there, and the rank that the first item's tail gets in its own length. Ranks after the last run are cut.
+    """
+    runs, used, made, sequence = {}, Counter(), Counter({n: int(k) for n, k in enumerate(counts)}), 0
+    for pattern, times in patterns:
+        at = 0
+        for n, k in sorted(pattern.items(), reverse=True):
+            runs.setdefault(n, []).append((used[n], k, sequence, at, n, 0))
+            used[n] += k * times
+            at += n * k
+        if pattern.split:
+            n, head = pattern.split
+            runs.setdefault(n, []).append((used[n], 1, sequence, at, head, made[n - head]))
+            used[n] += times
+            made[n - head] += times
+        sequence += times
+    for n in made:
+        runs.setdefault(n, []).append((used[n], 0, 0, 0, n, 0))
+    return runs, sequence
+
+
+def places(runs: dict[int, list[tuple]], length: int, rank: int) -> list[tuple[int, int, int | None, int]]:
+    """The pieces of an item: start in it, length, window and offset; no window for the powers of two of a cut one."""
+    start, out = 0, []
+    while length:
+        first, k, sequence, at, take, tail = runs[length][bisect_right(runs[length], rank, key=lambda x: x[0]) - 1]
+        step = rank - first
+        if not k:
+            for b in (1 << i for i in range(length.bit_length() - 1, -1, -1)):
+                if length & b:
+                    out.append((start, b, None, 0))
+                    start += b
+            break
+        out.append((start, take, sequence + step // k, at + step % k * take))
+        start, length, rank = start + take, length - take, tail + step
+    return out
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, slack: int = SLACK, end_id: int = 0) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
@@ -173,34 +229,36 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, sl
         counts[r["rest"]] = r["count"]
     patterns, cut = plan(counts, window, slack)
 
-    # For each length, runs of ranks with the pattern that takes them.
-    runs, used, sequence = [], Counter(), 0
-    for pattern, times in patterns:
-        at = 0
-        for n, k in sorted(pattern.items(), reverse=True):
-            runs.append((n, used[n], used[n] + k * times, k, sequence, at))
-            used[n] += k * times
-            at += n * k
-        sequence += times
-    lasts = {n: int(counts[n]) - c for n, c in cut.items()}
-    base = [(n, [{"lo": lo, "k": k, "seq": s, "at": a} for m, lo, hi, k, s, a in runs if m == n], lasts.get(n, int(counts[n]))) for n in sorted({m for m, *_ in runs} | set(cut))]
-    table = spark.createDataFrame(base, "rest bigint, runs array<struct<lo:bigint,k:bigint,seq:bigint,at:bigint>>, placed bigint")
+    runs, sequence = schedule(counts, patterns)
+    parted = [n for n, xs in runs.items() if any(take < n or not k and first < counts[n] for first, k, _, _, take, _ in xs)]
 
     # Ranks: those of earlier parts of the same length, then the order in the part.
     before = Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     by_part = by_part.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     ranked = docs.withColumn("rank", F.row_number().over(Window.partitionBy("rest", "part").orderBy("row")) - 1)
     ranked = ranked.join(by_part, ["rest", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
-    ranked = ranked.join(F.broadcast(table), "rest", "left")  # window - 1 rows, and as many runs as patterns have lengths
+    # Ids travel only with lengths of which some are split.
+    ranked = ranked.select("doc_id", "doc_tokens", "part", "row", "whole", "rest", "rest_start", "rest_crc", "rank", F.when(F.col("rest").isin(parted), F.col("ids")).alias("ids"))
 
-    last = F.try_element_at(F.filter("runs", lambda x: x["lo"] <= F.col("rank")), F.lit(-1))
-    step = F.col("rank") - F.col("run.lo")
-    k = F.col("run.k")
-    placed = F.struct(F.col("rest_start").alias("start"), F.col("rest").alias("length"), F.col("rest_crc").alias("crc"), (F.col("run.seq") + F.floor(step / k)).alias("sequence_id"), (F.col("run.at") + F.pmod(step, k) * F.col("rest")).alias("offset"))
+    def put(batches):
+        kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "crc", "sequence_id", "offset")]))
+        for batch in batches:
+            placed, bits = [], []
+            for n, start, crc, rank, ids in zip(*(batch.column(c).to_pylist() for c in ("rest", "rest_start", "rest_crc", "rank", "ids"))):
+                placed.append([])
+                bits.append([])
+                for s, m, q, at in places(runs, n, rank):
+                    piece = {"start": start + s, "length": m, "crc": crc if m == n else zlib.crc32(ids[4 * s : 4 * (s + m)])}
+                    if q is None:
+                        bits[-1].append(piece)
+                    else:
+                        placed[-1].append(piece | {"sequence_id": q, "offset": at})
+            whole = batch.column("whole")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "doc_tokens", "part", "row")), whole, pa.array(bits, whole.type), pa.array(placed, kind)], ["doc_id", "doc_tokens", "part", "row", "whole", "bits", "placed"])
+
+    pieces = ranked.mapInArrow(put, f"doc_id bigint, doc_tokens bigint, part int, row bigint, whole {_PIECES}, bits {_PIECES}, placed {_PLACED}")
     # A sequence of its own for each whole window and each power of two: numbered by part and row, above those of the plan.
-    alone = F.concat("whole", F.when(F.col("rank") >= F.coalesce("placed", F.lit(0)), F.col("bits")).otherwise(F.slice("bits", 1, 0)))
-    pieces = ranked.withColumn("run", last).withColumn("alone", alone).withColumn("fits", F.col("rest").between(1, window - 1) & (F.col("rank") < F.coalesce("placed", F.lit(0))))
-    return _numbered(scratch.save(pieces.select("doc_id", "doc_tokens", "part", "row", "alone", F.when(F.col("fits"), placed).alias("placed")), "pieces"), sequence)
+    return _numbered(scratch.save(pieces.select("doc_id", "doc_tokens", "part", "row", F.concat("whole", "bits").alias("alone"), "placed"), "pieces"), sequence)
 
 
 def _numbered(pieces: DataFrame, first: int) -> DataFrame:
@@ -212,5 +270,6 @@ def _numbered(pieces: DataFrame, first: int) -> DataFrame:
     number = F.lit(first) + F.col("before") + F.col("mine")
     alone = pieces.select("doc_id", "doc_tokens", number.alias("number"), F.posexplode("alone").alias("i", "p"))
     alone = alone.select("doc_id", F.col("p.start"), F.col("p.length"), F.col("p.crc").alias("ids_crc32"), "doc_tokens", (F.col("number") + F.col("i")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    placed = pieces.where("placed is not null").select("doc_id", "placed.start", "placed.length", F.col("placed.crc").alias("ids_crc32"), "doc_tokens", "placed.sequence_id", "placed.offset")
+    placed = pieces.select("doc_id", "doc_tokens", F.explode("placed").alias("p"))
+    placed = placed.select("doc_id", "p.start", "p.length", F.col("p.crc").alias("ids_crc32"), "doc_tokens", "p.sequence_id", "p.offset")
     return alone.unionByName(placed)

@@ -291,6 +291,23 @@ def test_packing(docs, odd):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_of_a_hot_length(spark):
+    """A third of the rows have one length, which two of them overfill: heads fill windows, and tails are packed again."""
+    r = np.random.default_rng(6)
+    lengths = np.concatenate([np.full(3000, 700), r.integers(1, 1024, 6000)])
+    patterns, cut = packing.plan(np.bincount(lengths, minlength=1024))
+    assert sum(n * k for n, k in cut.items()) < 1024 and sum(t for _, t in patterns) <= lengths.sum() / 1008
+
+    encode = packing.Encoder(packing.default_tokenizer())
+    rows = [(i, " ".join(f"w{x}" for x in r.integers(0, 10**6, n))) for i, n in enumerate(r.integers(1, 400, 60))]
+    hot = " one" * 699
+    assert len(encode(hot)) == 699
+    rows += [(100 + i, hot) for i in range(120)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).toPandas()
+    assert check_packing(rows, got, encode) < 0.02
+    assert got.sequence_id.nunique() == got.sequence_id.max() + 1 <= got.length.sum() / 1008 + 20
+
+
 def test_encoder_equals_tokenizers():
     from tokenizers import Tokenizer
 
