@@ -212,6 +212,14 @@ def test_classifiers(spark, odd):
     assert toxicity.scored(odd, toxicity.fit(docs, labels.limit(0), {})).where("score = 0.5").count() == len(ODD)
 
 
+def test_toxicity_learns_from_long_texts(spark):
+    """All toxic texts have 50 kB: a bound below that leaves one class and 0.5 for every text."""
+    rows = [(i, "calm words of a plain day " * 40 + ("vile slur " * 5000 if i % 2 else ""), i % 2) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(frame, toxicity.fit(frame, frame, {})).collect()}
+    assert all((got[i] >= 0.7) == (y == 1) for i, _, y in rows)
+
+
 # 7
 
 def test_exact(spark, sf, docs, odd):
