@@ -46,14 +46,32 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def fresh(df: DataFrame, *names: str) -> str:
-    """A column name that neither df nor names has."""
-    taken, name = {c.lower() for c in (*df.columns, *names)}, "q"
+def fresh(df: DataFrame, start: str = "q") -> str:
+    """A column name that df doesn't have."""
+    taken, name = {c.lower() for c in df.columns}, start
     while name in taken:
         name += "_"
     return name
 
 
+def text_key(text="text"):
+    """With doc_id it tells a row's text from others of the same id; rows that agree in both are one document."""
+    from pyspark.sql import functions as F
+
+    return F.xxhash64(text)
+
+
+def without(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """docs without the rows of out (doc_id, text_key), all columns as they were. Null ids are equal to one another."""
+    from pyspark.sql import functions as F
+
+    key, i = fresh(docs), fresh(docs, "i")
+    out = out.select(F.col("doc_id").alias(i), F.col("text_key").alias(key)).distinct()
+    mine = docs.withColumn(key, text_key())
+    on = mine["doc_id"].cast("long").eqNullSafe(out[i]) & (mine[key] == out[key])
+    return mine.join(out, on, "left_anti").select(*(f"`{c}`" for c in docs.columns))
+
+
 #: ASCII white space: \x20 and \x09-\x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -247,24 +265,54 @@ def held(doc_id, modulus: int, remainder: int):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == remainder
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, most_bytes: int):
+#: Bytes of text that a training sample has at most, and classes of labels.
+SAMPLE_BYTES, CLASSES = 64 << 20, 256
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, most_bytes: int, cut: bool = False, sample_bytes: int = SAMPLE_BYTES, classes: int = CLASSES):
     """A bounded training sample as pandas: doc_id, text, y.
 
-    labels: doc_id, y. Of each y the per_class rows that come first by a hash of the id, of texts up to most_bytes;
-    only ids are sorted, then the chosen texts are read.
+    labels: doc_id, y. Of each y (the `classes` most frequent ones) the per_class rows that come first by a hash of the id,
+    as far as sample_bytes, shared evenly among the classes, reach; texts over most_bytes are left out, or with cut go in
+    with their first most_bytes characters. Where an id repeats with several texts one of them is taken. Two scans: the
+    first gives ids and sizes of little more than per_class rows a class, the second the chosen texts.
     """
     import pandas as pd
     from pyspark.sql import functions as F
 
-    labels = labels.where("doc_id is not null and y is not null")
-    chosen = []
-    for (y,) in labels.select("y").distinct().collect():  # classes of a label
-        rows = labels.where(F.col("y") == F.lit(y)).select("doc_id", "y").distinct()
-        chosen += rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()
+    spark = docs.sparkSession
+    labels = labels.where("doc_id is not null and y is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "y")
+    counts = labels.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(classes).collect()
+    none = pd.DataFrame({"doc_id": [], "text": [], "y": []})
+    if not counts:
+        return none
+    want = per_class + 6 * per_class**0.5 + 16  # hashes below a bound: so many are expected, and per_class are found but for odds of 1e-8
+    bound = F.create_map(*(x for r in counts for x in (F.lit(r["y"]), F.lit(min((1 << 63) - 1, int(want / r["n"] * 2.0**63))))))
+    order = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 63) - 1))
+    first = labels.withColumn("h", order).where(F.col("h") <= F.element_at(bound, F.col("y"))).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").withColumn("k", text_key())
+    sizes = texts.join(F.broadcast(first), "doc_id").groupBy("doc_id", "y", "h").agg(F.min(F.struct("k", F.octet_length("text").alias("n"))).alias("x")).select("doc_id", "y", "h", "x.k", "x.n")
+    chosen, used, each = [], {}, sample_bytes // len(counts)
+    for r in sorted(sizes.collect(), key=lambda r: (r["h"], r["doc_id"])):
+        n, (rows, size) = min(r["n"], most_bytes) if cut else r["n"], used.get(r["y"], (0, 0))
+        if n <= most_bytes and rows < per_class and (size + n <= each or not rows):
+            used[r["y"]] = rows + 1, size + n
+            chosen.append((r["doc_id"], r["k"], r["y"]))
     if not chosen:
-        return pd.DataFrame({"doc_id": [], "text": [], "y": []})
-    texts = docs.where(F.col("doc_id").isin([r["doc_id"] for r in chosen]) & (F.octet_length("text") <= most_bytes)).select("doc_id", "text").toPandas()
-    return texts.drop_duplicates("doc_id").merge(pd.DataFrame([tuple(r) for r in chosen], columns=["doc_id", "y"]), on="doc_id").sort_values("doc_id").reset_index(drop=True)
+        return none
+    kind = labels.schema["y"].dataType.simpleString()
+    rows = spark.createDataFrame(chosen, f"doc_id bigint, k bigint, y {kind}")
+    text = F.substring("text", 1, most_bytes) if cut else F.col("text")
+    found = texts.join(F.broadcast(rows), ["doc_id", "k"]).select("doc_id", "y", text.alias("text")).toPandas()
+    return found.drop_duplicates(["doc_id", "y"]).sort_values(["doc_id", "y"]).reset_index(drop=True)
+
+
+def apart(y: np.ndarray, every: int = 4) -> np.ndarray:
+    """Which training rows are kept back to fit a curve or a threshold: every fourth of each class, and none where a class would have none."""
+    out = np.zeros(len(y), bool)
+    for c in np.unique(y):
+        out[np.flatnonzero(y == c)[every - 1 :: every]] = True
+    return out if all(out[y == c].any() for c in np.unique(y)) else np.zeros(len(y), bool)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

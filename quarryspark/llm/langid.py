@@ -4,17 +4,21 @@ Each language has a zstandard raw-content dictionary made of training texts. A t
 block is compressed with each dictionary, and the language with the smallest total wins. The margin to the second is
 taken per byte of text; a narrow one rejects.
 
-Training rows: of each language the `per_language` rows that come first by a hash of the id, whole texts of up to
-`most_bytes`, until `dictionary_bytes` are full.
+Training rows: of each language the `per_language` rows that come first by a hash of the id, of longer texts the first
+`most_bytes` characters, until `dictionary_bytes` are full; the text that overfills a dictionary is cut there. Lines that
+several languages have stay out, unless a language has no others. A language whose texts are blank gets no dictionary,
+and a warning names it.
 
 Defined results: a null text or one without a letter is `und` with score 0 and is rejected; ties go to the language that
-sorts first and are rejected; no training rows: every text is `und`; repeated rows are each judged; extra columns are
-ignored.
+sorts first and are rejected; no training rows: every text is `und` and is rejected; repeated rows, rows without an id and
+several texts of one id are each judged by their own text; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,11 +39,15 @@ def dictionaries(texts, langs, dictionary_bytes: int = DICTIONARY_BYTES) -> dict
     for lines, lang in rows:
         for line in lines:
             of_line.setdefault(line, set()).add(lang)
+    own = {lang for lines, lang in rows if any(x.strip() and len(of_line[x]) == 1 for x in lines)}
     for lines, lang in rows:
-        raw, have = "\n".join(x for x in lines if len(of_line[x]) == 1).encode("utf-8", "replace") + b"\n", out.setdefault(lang, bytearray())
-        if len(have) + len(raw) <= dictionary_bytes:
-            have += raw
-    return {k: bytes(v) for k, v in sorted(out.items()) if len(v) > 8}
+        raw, have = "\n".join(x for x in lines if lang not in own or len(of_line[x]) == 1).encode("utf-8", "replace") + b"\n", out.setdefault(lang, bytearray())
+        have += raw[: dictionary_bytes - len(have)]
+    empty = sorted(k for k, v in out.items() if not v.strip())
+    if empty:
+        warnings.warn(f"no text to make a dictionary of for: {', '.join(empty)}", stacklevel=2)
+    # zstandard takes raw content from 8 bytes on.
+    return {k: bytes(v).ljust(9) for k, v in sorted(out.items()) if k not in empty}
 
 
 class Judge:
@@ -66,7 +74,7 @@ class Judge:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_bytes: int = MOST_BYTES, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Dictionaries from the rows of docs that have a language; docs: doc_id, text, lang, without rows kept back for tests."""
-    rows = labelled_sample(docs, docs.select("doc_id", F.col("lang").alias("y")), per_language, most_bytes)
+    rows = labelled_sample(docs, docs.select("doc_id", F.col("lang").alias("y")), per_language, most_bytes, cut=True)
     return dictionaries(rows["text"], rows["y"], dictionary_bytes)
 
 
@@ -91,6 +99,13 @@ def judged(docs: DataFrame) -> DataFrame:
 
 
 def drop_unknown(docs: DataFrame) -> DataFrame:
-    """docs without the rows that are rejected; all columns stay."""
-    out = judged(docs).where("rejected").select("doc_id").distinct()
-    return docs.join(out, "doc_id", "left_anti").select(docs.columns)
+    """docs without the rows that are rejected; all columns stay. Each row's own text decides, so nothing is shuffled."""
+    known = docs.sparkSession.sparkContext.broadcast(fit(docs.where(~held(F.col("doc_id"), 5, 0))))
+
+    @F.arrow_udf("boolean")
+    def fits(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        judge = Judge(known.value)
+        for some in texts:
+            yield pa.array([not judge(t.as_py())[2] for t in some], pa.bool_())
+
+    return docs.where(fits("text"))

@@ -7,8 +7,12 @@ logistic curve fitted on training rows that the densities have not seen.
 
 Training rows: of each label the `per_class` that come first by a hash of the id, texts up to `most_bytes`.
 
+Every fourth training row of each class is kept for the curve. With fewer than four rows of a class the curve is fitted on
+all rows, and covariances lean on the pooled one, so that any two rows of different labels give a model.
+
 Defined results: null text counts as empty and gets a score as any other; one label only in training: every score is
-that label's; repeated rows are each scored; extra columns are ignored.
+that label's, none at all: 0.5; repeated rows are each scored, rows without an id too; labels without an id or with an id
+that no document has are left out; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, distinct, grams, held, inside, labelled_sample, runs, sigmoid, text_bytes, words
+from .common import CHUNK, apart, distinct, grams, held, inside, labelled_sample, runs, sigmoid, text_bytes, words
 
 PER_CLASS, MOST_BYTES, SHRINK, CUT = 3000, 1 << 20, 0.15, 0.7
 
@@ -74,17 +78,19 @@ class Discriminant:
             return
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
         z = (x - self.mean) / self.scale
-        apart = np.arange(len(y)) % 4 == 3  # for the curve
-        pooled = sum(np.cov(z[(y == c) & ~apart].T, bias=True) * ((y == c) & ~apart).sum() for c in (0, 1)) / (~apart).sum()
-        target = 0.5 * pooled + 0.5 * np.diag(np.diag(pooled))
+        later = apart(y)  # for the curve
+        fit = ~later
+        pooled = sum(np.cov(z[(y == c) & fit].T, bias=True) * ((y == c) & fit).sum() for c in (0, 1)) / fit.sum()
+        target = 0.5 * pooled + 0.5 * np.diag(np.diag(pooled)) + 1e-3 * np.eye(z.shape[1])
         self.classes = []
         for c in (0, 1):
-            own = z[(y == c) & ~apart]
-            cov = (1 - shrink) * np.cov(own.T, bias=True) + shrink * target + 1e-3 * np.eye(z.shape[1])
-            factor = np.linalg.cholesky(cov)
+            own = z[(y == c) & fit]
+            mine = min(1 - shrink, len(own) / (len(own) + z.shape[1]))  # few rows say little of their own covariance
+            factor = np.linalg.cholesky(mine * np.cov(own.T, bias=True) + (1 - mine) * target + 1e-3 * np.eye(z.shape[1]))
             self.classes.append((own.mean(0), np.linalg.inv(factor), 2 * np.log(np.diag(factor)).sum()))
+        later = later if later.any() else fit
         # Equal weight for both labels' rows, so that a sample balanced by label does not shift the curve.
-        d, t = self.difference(x[apart]), y[apart].astype(float)
+        d, t = self.difference(x[later]), y[later].astype(float)
         w = np.where(t == 1, 0.5 / max(t.mean(), 1e-6), 0.5 / max(1 - t.mean(), 1e-6))
         a, b, spread = 1.0, 0.0, np.abs(d).mean() + 1e-9
         d = d / spread
