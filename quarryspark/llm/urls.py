@@ -4,7 +4,8 @@ Rules name a host suffix and a path prefix; the longest that fits decides. Other
 trained from the labelled urls below.
 
 Defined results: a null url, or one without "://", has an empty host and path, matches no rule and is left to the
-classifier as an empty string (allow); repeated rows are each judged; extra columns are ignored.
+classifier as an empty string (allow); what a rule decides has no score; repeated rows, rows without an id and several urls
+of one id are each judged; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,10 +47,10 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
-def labelled() -> list[tuple[str, int]]:
-    """The labelled urls: every name with two of the host forms and paths."""
+def labelled(blocked=BLOCKED, allowed=ALLOWED) -> list[tuple[str, int]]:
+    """The labelled urls: every name in each host form, with a path."""
     rows = []
-    for y, names in ((1, BLOCKED), (0, ALLOWED)):
+    for y, names in ((1, blocked), (0, allowed)):
         for i, name in enumerate(names):
             for j in range(4):
                 rows.append((_HOSTS[j].format(name) + _PATHS[(i + j) % 5].format(37 * (i + 1) + j), y))
@@ -91,7 +92,7 @@ def judged(pages: DataFrame, rules=RULES, table=None) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(s: pd.Series) -> pd.Series:
-        once = {x: known.value(x) for x in s.unique()}
+        once = {x: known.value(x) for x in s.dropna().unique()}
         return s.map(once).astype(float)
 
     url = F.col("url")
@@ -102,5 +103,6 @@ def judged(pages: DataFrame, rules=RULES, table=None) -> DataFrame:
         suffix, _, prefix = rule.partition("/")
         hit = ((F.col("host") == suffix) | F.col("host").endswith("." + suffix)) & F.col("path").startswith("/" + prefix)
         fits, verdict = F.when(hit, F.lit(rule)).otherwise(fits), F.when(hit, F.lit(says)).otherwise(verdict)
-    rows = rows.withColumn("rule", fits).withColumn("said", verdict).withColumn("score", score(F.concat("host", "path")))
+    # What a rule has decided is not scored.
+    rows = rows.withColumn("rule", fits).withColumn("said", verdict).withColumn("score", score(F.when(F.col("said").isNull(), F.concat("host", "path"))))
     return rows.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
