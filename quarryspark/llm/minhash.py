@@ -7,16 +7,21 @@ is the plain Jaccard similarity of their sets. 25 bands of 5 registers make buck
 the 25 of unit weights besides (without repeats both are the same): a pair at a plain 0.8 shares none of those with odds of
 5e-5, however often one of the two repeats a line.
 
-Texts with equal word sequences are one class before that. In a bucket every class is held against the bucket's first
-class, and the shingle sets of such a pair are compared in full (Jaccard 0.8 or more). What stars of this kind leave open
-are pairs of a bucket that fall into different components: their classes are searched with the exact prefix filter, in
-the order of rarity over those classes, and an exact bound from parity bitmaps in the join itself, so boilerplate and
-texts just below the threshold do not make pairs and no link within a bucket is lost. No group
-is gathered in one task: buckets are aggregated and joined, components come from distributed star contraction.
+Texts with equal word sequences are one class before that. In a bucket every class is held against the bucket's hub, the
+class that shares buckets with most others and so stands in the middle of its copies, and the shingle sets of such a pair are
+compared in full (Jaccard 0.8 or more). Buckets that still span components take as next hub the one among the rest, for
+some rounds, each in proportion to the bucket. What is open then are pairs of a bucket that fall into different components:
+their classes are searched with the exact prefix filter, in the order of rarity over those classes, and an exact bound from
+parity bitmaps in the join itself, so boilerplate and texts just below the threshold do not make pairs and no link within a
+bucket is lost; a pair comes out at the first shingle that both prefixes share. No group is gathered in one task: buckets
+are aggregated and joined, components come from distributed star contraction over the labels that a round's links join.
 
 Defined results: words are runs of non-white-space bytes, A-Z lower-cased; texts of 1 to 4 words have one shingle; null,
-empty and blank texts are never duplicates; a group's class id is its smallest doc_id; repeated rows fall in one class;
-an empty table gives no rows; extra columns are ignored.
+empty and blank texts are never duplicates; a group's class id is its smallest doc_id; rows are known by their content, so
+rows that repeat an id and a text are one document, while an id's other texts and rows without an id are documents of their
+own (a group that has no id at all has null as its class id); of a group the text with the smallest id stays, the smaller
+content key among equals; n_links counts the links verified for a row's text, which are those that hold its group together,
+not all there are; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, distinct, mix, row_of, runs, shingles, text_bytes, words
+from .common import Scratch, distinct, mix, row_of, runs, shingles, text_bytes, text_key, without, words
 
 WORDS, BANDS, ROWS, THRESHOLD = 5, 25, 5, 0.8
+#: Rounds of hubs before the prefix filter.
+HUBS = 2
 
 
 def signatures(h: np.ndarray, weight: np.ndarray, at: np.ndarray, registers: int) -> np.ndarray:
@@ -95,8 +102,8 @@ def _prepare(batches):
             keys, ends = _take(keys, ends, back)
             flat = pa.array(keys.astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, b - a), pa.array(content[0].astype(np.int64)), pa.array(content[1].astype(np.int64)), pa.array(n), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)],
-                ["doc_id", "c0", "c1", "n_words", "bands"],
+                [*(batch.column(c).slice(a, b - a) for c in ("doc_id", "text_key")), pa.array(content[0].astype(np.int64)), pa.array(content[1].astype(np.int64)), pa.array(n), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)],
+                ["doc_id", "text_key", "c0", "c1", "n_words", "bands"],
             )
 
 
@@ -119,7 +126,7 @@ def _verify(batches):
             if both and both / (len(x) + len(y) - both) >= THRESHOLD:
                 keep.append(i)
         rows = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("a").take(rows), batch.column("b").take(rows)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(rows) for c in _LINK], _LINK)
 
 
 def _sets(data, off):
@@ -138,8 +145,8 @@ def _explode(batches):
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(to)[row]), pa.array(g.astype(np.int64))], ["rep", "n", "g"])
 
 
-#: Words of 64 bits in a parity map.
-MAP = 16
+#: Words of 64 bits in a parity map, and a prefix's first shingles that a row has along to tell whether a pair came out before.
+MAP, EARLIER = 16, 32
 
 
 def _parity(batches):
@@ -154,10 +161,14 @@ def _parity(batches):
             yield pa.RecordBatch.from_arrays([batch.column("rep").slice(a, b - a), *(pa.array(longs[:, i].copy()) for i in range(MAP))], ["rep", *(f"m{i}" for i in range(MAP))])
 
 
+#: Two vertices and the labels of their components.
+_LINK = ["a", "b", "la", "lb"]
+
+
 def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, b) with both texts compared. texts: rep, text."""
+    """pairs (a, b, la, lb) with both texts compared. texts: rep, text."""
     both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a bigint, b bigint")
+    return both.select(*_LINK, "text_a", "text_b").mapInArrow(_verify, ", ".join(f"{c} bigint" for c in _LINK))
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -181,48 +192,115 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         state = now
 
 
+class _Groups:
+    """Components so far (v, c), taken further by the links of each round. Vertices that are in none stand for themselves."""
+
+    def __init__(self, scratch: Scratch, texts: DataFrame):
+        self.scratch, self.texts, self.comp, self.rounds = scratch, texts, None, []
+
+    def labelled(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) of different components, with their labels."""
+        if self.comp is None:
+            return pairs.select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb"))
+        for v in "ab":
+            pairs = pairs.join(self.comp.select(F.col("v").alias(v), F.col("c").alias(f"l{v}")), v, "left").withColumn(f"l{v}", F.coalesce(f"l{v}", v))
+        return pairs.where("la <> lb").select(*_LINK)
+
+    def take(self, pairs: DataFrame) -> None:
+        """Verifies pairs (a, b) and joins the components that links go between."""
+        k, save = len(self.rounds), self.scratch.save
+        found = save(links(self.labelled(pairs), self.texts), f"links-{k}")
+        self.rounds.append(found)
+        if self.comp is not None and not found.limit(1).count():
+            return
+        new = save(components(found.select(F.col("la").alias("a"), F.col("lb").alias("b")), self.scratch, f"cc-{k}"), f"new-{k}")
+        if self.comp is None:
+            self.comp = new
+            return
+        moved = self.comp.join(new.select(F.col("v").alias("c"), F.col("c").alias("to")), "c", "left").select("v", F.coalesce("to", "c").alias("c"))
+        self.comp = save(moved.unionByName(new.join(self.comp.select("v"), "v", "left_anti")), f"comp-{k}")
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """rows with a column rep: the component c of each."""
+        return rows.join(self.comp.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+
+    def links(self) -> DataFrame:
+        """(rep, n_links)."""
+        ends = [r.select(F.col(v).alias("rep")) for r in self.rounds for v in "ab"]
+        out = ends[0]
+        for e in ends[1:]:
+            out = out.unionByName(e)
+        return out.groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+
+    def drop(self) -> None:
+        for k in range(len(self.rounds)):
+            self.scratch.drop(f"links-{k}", f"new-{k}", f"comp-{k}")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, class_id, class_size, kept."""
-    scratch = Scratch(docs.sparkSession, "near")
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    rows = scratch.save(docs.mapInArrow(_prepare, "doc_id bigint, c0 bigint, c1 bigint, n_words bigint, bands array<bigint>"), "rows")
-    classes = scratch.save(rows.where("n_words > 0").groupBy("c0", "c1").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "classes")
+    """One row per document: doc_id, class_id, class_size, kept, n_links."""
+    return _judged(docs).drop("text_key")
 
-    # Stars: each bucket of several classes with its smallest.
+
+def _judged(docs: DataFrame) -> DataFrame:
+    scratch = Scratch(docs.sparkSession, "near")
+    docs = docs.select(F.col("doc_id").cast("long"), "text", text_key().alias("text_key"))
+    rows = scratch.save(docs.mapInArrow(_prepare, "doc_id bigint, text_key bigint, c0 bigint, c1 bigint, n_words bigint, bands array<bigint>"), "rows")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("one")
+    # Vertices are the rows of this table; its numbers are fixed once it is written.
+    classes = rows.where("n_words > 0").groupBy("c0", "c1").agg(one, F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    classes = scratch.save(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+
+    # Buckets of several classes.
     keys = classes.select("rep", F.explode("bands").alias("key"))
-    heads = keys.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = scratch.save(keys.join(heads, "key"), "members")
-    texts = scratch.save(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").groupBy("doc_id").agg(F.first("text").alias("text")).select(F.col("doc_id").alias("rep"), "text"), "texts")
-    stars = members.where("rep <> head").groupBy("rep", "head").count()
-    nearest = stars.groupBy("rep").agg(F.max(F.struct(F.col("count"), (-F.col("head")).alias("minus"))).alias("x")).select(F.col("rep").alias("a"), (-F.col("x.minus")).alias("b"))
-    edges = scratch.save(links(nearest, texts), "edges-1")
-    comp = scratch.save(components(edges, scratch, "cc-1"), "comp-1")
-
-    # The other heads of a class, where they are still in another component.
-    other = stars.select(F.col("rep").alias("a"), F.col("head").alias("b")).join(nearest, ["a", "b"], "left_anti")
-    edges = scratch.save(edges.unionByName(links(_apart(other, comp), texts)), "edges-2")
-    comp = scratch.save(components(edges, scratch, "cc-2"), "comp-2")
-
-    # Buckets that still span components: the exact prefix filter over their classes.
-    labelled = members.select("key", "rep").join(comp.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-    split = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    rest = scratch.save(labelled.join(split, "key").select("rep", "c").distinct(), "rest")
-    found = scratch.save(links(_prefix_pairs(texts.join(rest, "rep"), scratch), texts), "edges-3")
-    comp = scratch.save(components(edges.unionByName(found), scratch, "cc-3"), "comp-3")
-
-    group = classes.join(comp.select(F.col("v").alias("rep"), "c"), "rep", "left").select("c0", "c1", "n", F.coalesce("c", "rep").alias("class_id"))
-    sizes = group.groupBy("class_id").agg(F.sum("n").alias("class_size"))
-    group = scratch.save(group.join(sizes, "class_id").select("c0", "c1", "class_id", "class_size"), "groups")
-    out = rows.where("n_words > 0").join(group, ["c0", "c1"]).select("doc_id", "class_id", "class_size")
-    out = scratch.save(out.unionByName(rows.where("n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))), "out")
-    scratch.drop("rows", "classes", "members", "texts", "edges-1", "edges-2", "edges-3", "comp-1", "comp-2", "comp-3", "rest", "shingles", "groups")
-    return out.withColumn("kept", F.expr("doc_id <=> class_id"))
-
-
-def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    a, b = comp.select(F.col("v").alias("a"), F.col("c").alias("ca")), comp.select(F.col("v").alias("b"), F.col("c").alias("cb"))
-    return pairs.join(a, "a", "left").join(b, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = scratch.save(keys.join(sizes, "key"), "shared")
+    middle = shared.groupBy("rep").agg(F.sum("n").alias("middle"))
+    members = scratch.save(shared.join(middle, "rep").select("key", "rep", "middle"), "members")
+    scratch.drop("shared")
+    wanted = classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("one.doc_id").alias("of"), F.col("one.text_key").alias("text_key"))
+    texts = docs.withColumnRenamed("text_key", "mine").join(wanted, F.expr("doc_id <=> of and mine = text_key")).groupBy("rep").agg(F.first("text").alias("text"))
+    groups = _Groups(scratch, scratch.save(texts, "texts"))
+
+    # The hub that shares most buckets with a class, then its other hubs where they are still in other components.
+    first = _hubs(members)
+    spokes = scratch.save(members.join(first, "key").where("rep <> hub").groupBy("rep", "hub").count(), "spokes")
+    nearest = spokes.groupBy("rep").agg(F.max(F.struct("count", "hub")).alias("x")).select(F.col("rep").alias("a"), F.col("x.hub").alias("b"))
+    groups.take(nearest)
+    groups.take(spokes.select(F.col("rep").alias("a"), F.col("hub").alias("b")).join(nearest, ["a", "b"], "left_anti"))
+
+    # Buckets that span components: the rest's own hubs, then the exact prefix filter.
+    for k in range(HUBS):
+        rest = scratch.save(_split(groups.of(members)), f"rest-{k}")
+        if k == HUBS - 1:
+            break
+        hubs = rest.groupBy("key").agg(F.max_by("c", F.struct("middle", "rep")).alias("top"))
+        hubs = _hubs(rest.join(hubs, "key").where("c <> top"))
+        groups.take(rest.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
+    open_ = scratch.save(rest.select("rep", "c").distinct(), "open")
+    groups.take(_prefix_pairs(groups.texts.join(open_, "rep"), scratch))
+
+    group = groups.of(classes.drop("bands"))
+    lead = group.groupBy("c").agg(F.min(F.struct("one.none", "one.doc_id", "c0", "c1")).alias("lead"), F.sum("n").alias("class_size"))
+    group = group.join(lead, "c").join(groups.links(), "rep", "left")
+    group = scratch.save(group.select("c0", "c1", F.col("lead.doc_id").alias("class_id"), "class_size", F.expr("c0 = lead.c0 and c1 = lead.c1").alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "groups")
+    out = rows.where("n_words > 0").join(group, ["c0", "c1"]).select("doc_id", "text_key", "class_id", "class_size", F.expr("first and doc_id <=> class_id").alias("kept"), "n_links")
+    alone = rows.where("n_words = 0").select("doc_id", "text_key", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), F.lit(0).cast("long").alias("n_links"))
+    out = scratch.save(out.unionByName(alone), "out")
+    groups.drop()
+    scratch.drop("rows", "classes", "members", "texts", "spokes", "open", "shingles", "prefix", "groups", *(f"rest-{k}" for k in range(HUBS)))
+    return out
+
+
+def _hubs(members: DataFrame) -> DataFrame:
+    """(key, hub): in each bucket the class that shares buckets with most others."""
+    return members.groupBy("key").agg(F.max_by("rep", F.struct("middle", "rep")).alias("hub"))
+
+
+def _split(members: DataFrame) -> DataFrame:
+    """The rows (key, rep, middle, c) of buckets that span components."""
+    split = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    return members.join(split, "key").select("key", "rep", "middle", "c")
 
 
 def _prefix_pairs(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -232,21 +310,19 @@ def _prefix_pairs(rows: DataFrame, scratch: Scratch) -> DataFrame:
     shared = tokens.join(often, "g").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("xs"))
     # A class's prefix: all but ceil(0.8 n) - 1 of its shingles, rarest first; those that no other class has come first and lead nowhere.
     left = F.floor((1 - THRESHOLD) * F.col("n") + 1e-9) + 1 - (F.col("n") - F.size("xs"))
-    prefix = shared.withColumn("left", left.cast("int")).where("left > 0").select("rep", "n", F.explode(F.slice("xs", F.lit(1), F.col("left"))).alias("x"))
-    prefix = prefix.select("rep", "n", F.col("x.g").alias("g")).join(rows.select("rep", "c"), "rep")
+    prefix = shared.withColumn("left", left.cast("int")).where("left > 0").select("rep", "n", F.slice(F.transform("xs", lambda x: x["g"]), F.lit(1), F.greatest(F.lit(0), F.col("left"))).alias("gs"))
+    prefix = prefix.select("rep", "n", F.posexplode("gs").alias("i", "g"), F.slice("gs", 1, EARLIER).alias("gs"))
+    prefix = prefix.select("rep", "n", "g", F.slice("gs", F.lit(1), F.least("i", F.lit(EARLIER))).alias("e")).join(rows.select("rep", "c"), "rep")
     several = prefix.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
     maps = rows.select("rep", "text").mapInArrow(_parity, "rep bigint" + "".join(f", m{i} bigint" for i in range(MAP)))
     prefix = scratch.save(prefix.join(several, "g").join(maps, "rep"), "prefix")
-    a, b = (prefix.select("g", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), *(F.col(f"m{i}").alias(f"{x}{i}") for i in range(MAP))) for x in "ab")
+    a, b = (prefix.select("g", F.col("rep").alias(x), *(F.col(y).alias(f"{y}{x}") for y in "nce"), *(F.col(f"m{i}").alias(f"{x}{i}") for i in range(MAP))) for x in "ab")
     # Bits in which two maps differ are at most the shingles that one of the two has alone, and at 0.8 those are at most a ninth of both sizes.
     differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(MAP)), F.lit(0))
     close = (differ <= (1 - THRESHOLD) / (1 + THRESHOLD) * (F.col("na") + F.col("nb")) + 1e-9) & (F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb") - 1e-9)
-    return a.join(b, (a["g"] == b["g"]) & (F.col("ca") < F.col("cb")) & close).select("a", "b").distinct()
+    return a.join(b, (a["g"] == b["g"]) & (F.col("ca") < F.col("cb")) & close & ~F.arrays_overlap("ea", "eb")).select("a", "b").distinct()
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group, that of the smallest id; all columns stay."""
-    out = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(out, "doc_id", "left_anti").select(docs.columns)
-
-
+    """docs with one document of each group, that of the smallest id; all columns stay."""
+    return without(docs, _judged(docs).where("not kept"))
