@@ -7,8 +7,9 @@ only anchors at cover positions (4 of 13 starts) are hashed and asked for. Where
 extends to the windows around it; those are asked for in full, by 112 bits of two hashes, and the earliest start of each
 comes back.
 
-Rows that repeat a doc_id are one document's copies: none is earlier than the other at the same start. Null and empty
-texts have no words; documents of under 20 words keep all; an empty table gives no rows; extra columns are ignored.
+Rows that repeat a doc_id, with the same text or another, are one document's versions: of equal windows the earlier start
+stays, at equal starts each. Rows without an id come after all others, as versions of one document. Null and empty texts
+have no words; documents of under 20 words keep all; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,26 +18,54 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, grams, inside, row_of, text_bytes, words
-from .exchange import TOP, Blocks, answer, said
+from .common import Scratch, grams, inside, text_bytes, words
+from .exchange import BLOCK_BYTES, FAN_OUT, Blocks, Rule, read, said
 
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 #: Bits of an anchor that are asked for; two anchors that agree by chance only make a window be asked for in vain.
 _MASK = np.uint64((1 << 64) - (1 << 16))
 _COVERED = np.isin(np.arange(PERIOD), COVER)
-_BESIDE = {"low": "uint64", "doc": "int64", "start": "int64"}
+#: Stands for a null id, after all others.
+_NONE = np.iinfo(np.int64).max
+
+
+def _repeats(keys: np.ndarray, values: dict) -> tuple:
+    """Whether an anchor occurs in another block, or more than once in one."""
+    new, back, count = np.unique(keys, return_inverse=True, return_counts=True)
+    many = count > 1
+    many[back[values["many"] > 0]] = True
+    return new, {"many": many.astype(np.uint8)}, back
+
+
+def _earliest(keys: np.ndarray, values: dict) -> tuple:
+    """Where a window starts first; windows are told apart by their keys and the other hash beside them."""
+    order = np.lexsort((values["start"], values["doc"], values["low"], keys))
+    k, low = keys[order], values["low"][order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (low[1:] != low[:-1])
+    back = np.empty(len(k), np.int64)
+    back[order] = np.cumsum(new) - 1
+    first = order[new]
+    return keys[first], {c: values[c][first] for c in values}, back
+
+
+ANCHORS = Rule({"many": "uint8"}, _repeats)
+WINDOWS = Rule({"low": "uint64", "doc": "int64", "start": "int64"}, _earliest)
 
 
 class _Block:
     """The words of a block's documents, in order of doc_id."""
 
     def __init__(self, table: pa.Table):
-        table = table.select(["doc_id", "text"]).sort_by("doc_id")
-        self.ids = table.column("doc_id").to_numpy()
+        self.given = table.column("doc_id")
+        order = pc.sort_indices(self.given)  # nulls last
+        table, self.given = table.take(order), self.given.take(order)
+        self.ids = pc.fill_null(self.given, _NONE).to_numpy()
         self.data, self.off = text_bytes(table.column("text"))
         self.hs, self.at, self.begin, self.end = words(self.data, self.off, hashes=2, bounds=True)
 
@@ -45,7 +74,7 @@ class _Block:
         keep, _ = inside(self.at, ANCHOR)
         start = np.arange(len(keep)) - np.repeat(self.at[:-1], np.diff(self.at))[: len(keep)]
         at = np.flatnonzero(keep & _COVERED[start % PERIOD])
-        return np.minimum(grams(self.hs[0], ANCHOR)[at] & _MASK, TOP) if len(at) else np.zeros(0, np.uint64), at
+        return grams(self.hs[0], ANCHOR)[at] & _MASK if len(at) else np.zeros(0, np.uint64), at
 
     def asked(self) -> tuple[np.ndarray, dict]:
         keys, count = np.unique(self.anchors()[0], return_counts=True)
@@ -65,13 +94,14 @@ class _Block:
         return np.flatnonzero(keep & (total[p + PERIOD] > total[p]))
 
     def extended(self, repeated: np.ndarray) -> tuple:
-        """Windows that may occur elsewhere: positions, which distinct one each is, and of each its two hashes and first position."""
+        """Windows that may occur elsewhere: positions, which distinct one each is, and of each its two hashes and the position that starts first."""
         at = self.windows(repeated)
         if not len(at):
             none = np.zeros(0, np.int64)
             return none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64), none
-        a, b = np.minimum(grams(self.hs[0], WINDOW)[at], TOP), grams(self.hs[1], WINDOW)[at] >> np.uint64(16)
-        order = np.lexsort((at, b, a))
+        a, b = grams(self.hs[0], WINDOW)[at], grams(self.hs[1], WINDOW)[at] >> np.uint64(16)
+        doc = np.searchsorted(self.at, at, "right") - 1
+        order = np.lexsort((at - self.at[doc], self.ids[doc], b, a))
         new = np.ones(len(at), bool)
         new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
         which = np.empty(len(at), np.int64)
@@ -84,16 +114,14 @@ class _Block:
         doc = np.searchsorted(self.at, first, "right") - 1
         return a, {"low": b, "doc": self.ids[doc] if len(doc) else np.zeros(0, np.int64), "start": first - self.at[doc]}
 
-    def judged(self, repeated: np.ndarray, earlier: np.ndarray) -> pa.Table:
-        """Every document with what is left of it. earlier: beside the block's distinct windows, whether one starts before the block's first."""
-        at, which, _, _, first = self.extended(repeated)
+    def judged(self, repeated: np.ndarray, first_doc: np.ndarray, first_start: np.ndarray) -> pa.Table:
+        """Every document with what is left of it. first_doc, first_start: beside the block's distinct windows, where each starts first of all."""
+        at, which, _, _, _ = self.extended(repeated)
         gone = np.zeros(len(self.hs[0]), bool)
         if len(at):
             doc = np.searchsorted(self.at, at, "right") - 1
-            lead = np.searchsorted(self.at, first, "right") - 1
-            same = (self.ids[doc] == self.ids[lead][which]) & (at - self.at[doc] == (first - self.at[lead])[which])
+            hit = at[(self.ids[doc] != first_doc[which]) | (at - self.at[doc] != first_start[which])]
             cover = np.zeros(len(gone) + 1, np.int32)
-            hit = at[(earlier[which] > 0) | ~same]
             np.add.at(cover, hit, 1)
             np.add.at(cover, hit + WINDOW, -1)
             gone = np.cumsum(cover[:-1]) > 0
@@ -107,50 +135,24 @@ class _Block:
                 w = np.flatnonzero(~gone[self.at[i] : self.at[i + 1]]) + self.at[i]
                 left = [raw[s:e] for s, e in zip(self.begin[w].tolist(), self.end[w].tolist())]
             shas.append(hashlib.sha256(b" ".join(left)).hexdigest())
-        return pa.table([pa.array(self.ids, pa.int64()), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(shas, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-
-def _repeats(keys: np.ndarray, beside: dict) -> np.ndarray:
-    """Whether an anchor occurs in another block, or more than once in one."""
-    _, back, count = np.unique(keys, return_inverse=True, return_counts=True)
-    many = np.zeros(len(count), bool)
-    np.logical_or.at(many, back, beside["many"] > 0)
-    return (count[back] > 1) | many[back]
-
-
-def _earliest(keys: np.ndarray, beside: dict) -> np.ndarray:
-    """Whether the same window has an earlier start in another block."""
-    order = np.lexsort((beside["start"], beside["doc"], beside["low"], keys))
-    k, low, doc, start = (x[order] for x in (keys, beside["low"], beside["doc"], beside["start"]))
-    new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (low[1:] != low[:-1])
-    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-    out = np.empty(len(k), bool)
-    out[order] = (doc != doc[lead]) | (start != start[lead])
-    return out
-
-
-def _both(got: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    import pyarrow.compute as pc
-
-    return tuple(said(got.filter(pc.equal(got.column("kind"), k)), "uint8") for k in (1, 2))
+        return pa.table([self.given, pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(shas, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, fan_out: int = FAN_OUT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256."""
     scratch = Scratch(docs.sparkSession, "substrings")
-    blocks = Blocks(docs.select(F.col("doc_id").cast("long"), "text"))
-    try:
-        many = {"many": "uint8"}
-        one = scratch.save(answer(blocks.ask(lambda t: _Block(t).asked(), many), _repeats, many, "uint8"), "anchors")
-        asked = blocks.ask(lambda t, got: _Block(t).asked_windows(said(got, "uint8")), _BESIDE, one)
-        two = scratch.save(answer(asked, _earliest, _BESIDE, "uint8"), "windows")
-        both = one.withColumn("kind", F.lit(1)).unionByName(two.withColumn("kind", F.lit(2)))
-        out = blocks.table.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(lambda t, got: _Block(t).judged(*_both(got)), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
-        out = scratch.save(out, "out")
-    finally:
-        blocks.drop()
-    scratch.drop("anchors", "windows")
+    blocks = Blocks(docs.select(F.col("doc_id").cast("long"), "text"), scratch, block_bytes)
+    one, _ = blocks.ask(ANCHORS, lambda table: _Block(table).asked(), None, fan_out, "anchors")
+    two, _ = blocks.ask(WINDOWS, lambda table, got: _Block(table).asked_windows(said(got, ANCHORS)["many"]), one, fan_out, "windows")
+
+    def judged(_: int, body: bytes, got: pa.Table) -> pa.Table:
+        of = lambda kind, rule: said(got.filter(pc.equal(got.column("kind"), kind)), rule)
+        first = of(2, WINDOWS)
+        return _Block(read(body)).judged(of(1, ANCHORS)["many"], first["doc"], first["start"])
+
+    both = one.withColumn("kind", F.lit(1)).unionByName(two.withColumn("kind", F.lit(2)), allowMissingColumns=True)
+    out = scratch.save(blocks.with_rows(both, judged, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"), "out")
+    scratch.drop("blocks", *blocks.written)
     return out
 
 
