@@ -5,17 +5,19 @@ than a window, is one item. Only the counts of the remaining lengths matter to t
 whatever the corpus: the largest length left opens a window, a subset-sum over a bitset finds the multiset of lengths
 that fills it closest to capacity, and that pattern is used as often as its counts allow, so there are about as many
 patterns as lengths. A window that no multiset fills to within `slack` ids is filled by the head of one more item, of the length
-that has the most left; its tail goes back to the counts as an item of what is left of it, and may be split again. Only the
-last items, too few for a window, are cut into powers of two, which need no padding. Items get places by their rank among
+that has the most left; its tail goes back to the counts as an item of what is left of it, and may be split again. The last
+items, too few for a window, share one. Items get places by their rank among
 those of one length: documents by counts of file parts, tails after them in the order of their windows, so a length that a
-third of all documents share is dealt out like any other.
+third of all documents share is dealt out like any other. A document's rank in its part, and the whole windows before it
+there, are counted while the part is tokenized, so no window function sorts a part.
 
-Defined results: null text counts as empty (one piece with the end id); repeated rows are packed each; an empty table
-gives no rows; extra columns are ignored; texts of any length are cut at whole windows.
+Defined results: null text counts as empty (one piece with the end id); rows that repeat, share an id with another text or have
+no id are packed each; an empty table gives no rows; extra columns are ignored; texts of any length are cut at whole windows.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections import Counter
@@ -30,7 +32,7 @@ from .common import Scratch
 
 WINDOW, SLACK = 1024, 16
 _PIECES = "array<struct<start:bigint,length:bigint,crc:bigint>>"
-_TOKENS = f"doc_id bigint, doc_tokens bigint, whole {_PIECES}, rest bigint, rest_start bigint, rest_crc bigint, ids binary, part int, row bigint"
+_TOKENS = f"doc_id bigint, doc_tokens bigint, whole {_PIECES}, rest bigint, rest_start bigint, rest_crc bigint, ids binary, part int, ahead bigint, whole_ahead bigint"
 _PLACED = "array<struct<start:bigint,length:bigint,crc:bigint,sequence_id:bigint,offset:bigint>>"
 
 
@@ -44,9 +46,13 @@ class Encoder:
     """Ids of a byte-level BPE file of the tokenizers library.
 
     The same vocabulary and merges are run by tiktoken, several times faster with equal ids (tests hold both against
-    each other). Texts with an added token's string, and files of another kind, go through tokenizers itself.
+    each other). Texts with an added token's string, texts with a very long run of white space (whose pattern overflows
+    tiktoken's stack from some 500,000 on), and files of another kind, go through tokenizers itself.
     """
 
+    LONG = 20_000
+    _BLANK = re.compile(r"\s{%d}" % LONG)
+
     def __init__(self, path: str):
         import json
 
@@ -62,7 +68,7 @@ class Encoder:
             self.fast = _tiktoken(model, self.added)
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is None or any(x in text for x in self.added):
+        if self.fast is None or any(x in text for x in self.added) or len(text) >= self.LONG and self._BLANK.search(text):
             return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
         return np.asarray(self.fast.encode_ordinary(text), "<u4")
 
@@ -93,11 +99,13 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None, window: int = WINDO
         from pyspark import TaskContext
 
         encode = Encoder(tokenizer or default_tokenizer())
-        part, row = TaskContext.get().partitionId(), 0
+        part, seen, whole = TaskContext.get().partitionId(), Counter(), 0
+        piece = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64())]))
+        kinds = {"whole": piece, "ids": pa.binary(), "part": pa.int32()}
         for batch in batches:
             ids_in, texts = batch.column("doc_id"), batch.column("text")
             for a in range(0, len(batch), 500):
-                out = {k: [] for k in ("doc_tokens", "whole", "rest", "rest_start", "rest_crc", "ids")}
+                out = {k: [] for k in ("doc_tokens", "whole", "rest", "rest_start", "rest_crc", "ids", "part", "ahead", "whole_ahead")}
                 for t in texts.slice(a, 500):
                     x = np.append(encode(t.as_py() or ""), np.array([end_id], "<u4"))
                     cut = len(x) // window * window
@@ -108,12 +116,13 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None, window: int = WINDO
                     out["rest_start"].append(cut)
                     out["rest_crc"].append(_crc(rest))
                     out["ids"].append(rest.tobytes())
-                n = len(out["rest"])
-                piece = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64())]))
-                kinds = {"whole": piece, "ids": pa.binary()}
+                    out["part"].append(part)
+                    out["ahead"].append(seen[len(rest)])
+                    out["whole_ahead"].append(whole)
+                    seen[len(rest)] += 1
+                    whole += cut // window
                 cols = [pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()]
-                yield pa.RecordBatch.from_arrays([ids_in.slice(a, 500), *cols, pa.array([part] * n, pa.int32()), pa.array(range(row, row + n), pa.int64())], ["doc_id", *out, "part", "row"])
-                row += n
+                yield pa.RecordBatch.from_arrays([ids_in.slice(a, 500), *cols], ["doc_id", *out])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _TOKENS)
 
@@ -149,9 +158,9 @@ class Pattern(Counter):
     split: tuple[int, int] | None = None
 
 
-def plan(counts: np.ndarray, window: int = WINDOW, slack: int = SLACK) -> tuple[list[tuple[Pattern, int]], dict[int, int]]:
-    """Patterns with their numbers of windows, and lengths with the numbers of items to cut into powers of two: less than a window in all."""
-    counts, patterns, cut = counts.astype(np.int64).copy(), [], {}
+def plan(counts: np.ndarray, window: int = WINDOW, slack: int = SLACK) -> list[tuple[Pattern, int]]:
+    """Patterns with their numbers of windows; only the last may lack more than slack."""
+    counts, patterns = counts.astype(np.int64).copy(), []
     while counts.any():
         top = int(np.flatnonzero(counts)[-1])
         counts[top] -= 1
@@ -159,13 +168,10 @@ def plan(counts: np.ndarray, window: int = WINDOW, slack: int = SLACK) -> tuple[
         counts[top] += 1
         pattern[top] += 1
         gap, need = window - sum(n * k for n, k in pattern.items()), Counter(pattern)
-        if gap > slack:
-            left = counts.copy()
-            for n, k in pattern.items():
-                left[n] -= k
-            if not left.any():
-                cut = {int(n): int(counts[n]) for n in np.flatnonzero(counts)}
-                break
+        left = counts.copy()
+        for n, k in pattern.items():
+            left[n] -= k
+        if gap > slack and left.any():
             most = int(left.argmax())  # longer than the gap, as the pattern would hold it otherwise
             pattern.split, need = (most, gap), need + Counter([most])
         times = min(int(counts[n]) // k for n, k in need.items())
@@ -174,14 +180,14 @@ def plan(counts: np.ndarray, window: int = WINDOW, slack: int = SLACK) -> tuple[
         if pattern.split:
             counts[pattern.split[0] - gap] += times
         patterns.append((pattern, times))
-    return patterns, cut
+    return patterns
 
 
 def schedule(counts: np.ndarray, patterns: list[tuple[Pattern, int]]) -> tuple[dict[int, list[tuple]], int]:
-    """For each length, runs of ranks in their order, and the number of planned windows.
+    """For each length, runs of ranks in their order, and the number of windows that the plan makes.
 
     A run has its first rank, the items a window takes, the first window, the offset in it, how many ids of an item go
-    there, and the rank that the first item's tail gets in its own length. Ranks after the last run are cut.
+    there, and the rank that the first item's tail gets in its own length.
     """
     runs, used, made, sequence = {}, Counter(), Counter({n: int(k) for n, k in enumerate(counts)}), 0
     for pattern, times in patterns:
@@ -196,23 +202,15 @@ def schedule(counts: np.ndarray, patterns: list[tuple[Pattern, int]]) -> tuple[d
             used[n] += times
             made[n - head] += times
         sequence += times
-    for n in made:
-        runs.setdefault(n, []).append((used[n], 0, 0, 0, n, 0))
     return runs, sequence
 
 
-def places(runs: dict[int, list[tuple]], length: int, rank: int) -> list[tuple[int, int, int | None, int]]:
-    """The pieces of an item: start in it, length, window and offset; no window for the powers of two of a cut one."""
+def places(runs: dict[int, list[tuple]], length: int, rank: int) -> list[tuple[int, int, int, int]]:
+    """The pieces of an item: start in it, length, window and offset."""
     start, out = 0, []
     while length:
         first, k, sequence, at, take, tail = runs[length][bisect_right(runs[length], rank, key=lambda x: x[0]) - 1]
         step = rank - first
-        if not k:
-            for b in (1 << i for i in range(length.bit_length() - 1, -1, -1)):
-                if length & b:
-                    out.append((start, b, None, 0))
-                    start += b
-            break
         out.append((start, take, sequence + step // k, at + step % k * take))
         start, length, rank = start + take, length - take, tail + step
     return out
@@ -220,56 +218,34 @@ def places(runs: dict[int, list[tuple]], length: int, rank: int) -> list[tuple[i
 
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, slack: int = SLACK, end_id: int = 0) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "pack")
+    scratch = Scratch(docs.sparkSession, "pack")
     docs = scratch.save(tokenized(docs, tokenizer, window, end_id), "tokens")
-    by_part = docs.groupBy("rest", "part").agg(F.count(F.lit(1)).alias("n"))
+    by_part = scratch.save(docs.groupBy("rest", "part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("whole")).alias("whole")), "parts")
     counts = np.zeros(window, np.int64)
-    for r in docs.where("rest > 0").groupBy("rest").count().toLocalIterator():  # window - 1 rows at most
-        counts[r["rest"]] = r["count"]
-    patterns, cut = plan(counts, window, slack)
-
-    runs, sequence = schedule(counts, patterns)
-    parted = [n for n, xs in runs.items() if any(take < n or not k and first < counts[n] for first, k, _, _, take, _ in xs)]
-
-    # Ranks: those of earlier parts of the same length, then the order in the part.
-    before = Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    by_part = by_part.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    ranked = docs.withColumn("rank", F.row_number().over(Window.partitionBy("rest", "part").orderBy("row")) - 1)
-    ranked = ranked.join(by_part, ["rest", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
+    for r in by_part.where("rest > 0").groupBy("rest").agg(F.sum("n").alias("n")).toLocalIterator():  # window - 1 rows at most
+        counts[r["rest"]] = r["n"]
+    runs, sequence = schedule(counts, plan(counts, window, slack))
+    parted = [n for n, xs in runs.items() if any(take < n for _, _, _, _, take, _ in xs)]
+
+    # Ranks: those of earlier parts of the same length, then the order in the part. Likewise for whole windows, each a sequence above those of the plan.
+    ahead = lambda by, x: F.coalesce(F.sum(x).over(Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = by_part.groupBy("part").agg(F.sum("whole").alias("whole")).select("part", (F.lit(sequence) + ahead([], "whole")).alias("first_whole"))  # a row a part
+    before = by_part.select("rest", "part", ahead(["rest"], "n").alias("before")).join(whole, "part")
+    ranked = docs.join(before, ["rest", "part"])
     # Ids travel only with lengths of which some are split.
-    ranked = ranked.select("doc_id", "doc_tokens", "part", "row", "whole", "rest", "rest_start", "rest_crc", "rank", F.when(F.col("rest").isin(parted), F.col("ids")).alias("ids"))
+    ranked = ranked.select("doc_id", "doc_tokens", "whole", "rest", "rest_start", "rest_crc", (F.col("ahead") + F.col("before")).alias("rank"), (F.col("first_whole") + F.col("whole_ahead")).alias("first_whole"), F.when(F.col("rest").isin(parted), F.col("ids")).alias("ids"))
 
     def put(batches):
         kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "crc", "sequence_id", "offset")]))
         for batch in batches:
-            placed, bits = [], []
-            for n, start, crc, rank, ids in zip(*(batch.column(c).to_pylist() for c in ("rest", "rest_start", "rest_crc", "rank", "ids"))):
-                placed.append([])
-                bits.append([])
+            out = []
+            for n, start, crc, rank, ids, whole, first in zip(*(batch.column(c).to_pylist() for c in ("rest", "rest_start", "rest_crc", "rank", "ids", "whole", "first_whole"))):
+                out.append([p | {"sequence_id": first + i, "offset": 0} for i, p in enumerate(whole)])
                 for s, m, q, at in places(runs, n, rank):
-                    piece = {"start": start + s, "length": m, "crc": crc if m == n else zlib.crc32(ids[4 * s : 4 * (s + m)])}
-                    if q is None:
-                        bits[-1].append(piece)
-                    else:
-                        placed[-1].append(piece | {"sequence_id": q, "offset": at})
-            whole = batch.column("whole")
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "doc_tokens", "part", "row")), whole, pa.array(bits, whole.type), pa.array(placed, kind)], ["doc_id", "doc_tokens", "part", "row", "whole", "bits", "placed"])
-
-    pieces = ranked.mapInArrow(put, f"doc_id bigint, doc_tokens bigint, part int, row bigint, whole {_PIECES}, bits {_PIECES}, placed {_PLACED}")
-    # A sequence of its own for each whole window and each power of two: numbered by part and row, above those of the plan.
-    return _numbered(scratch.save(pieces.select("doc_id", "doc_tokens", "part", "row", F.concat("whole", "bits").alias("alone"), "placed"), "pieces"), sequence)
-
-
-def _numbered(pieces: DataFrame, first: int) -> DataFrame:
-    """Gives the pieces that stand alone the sequence numbers from `first` on: a running sum over parts, then in the part."""
-    sums = pieces.groupBy("part").agg(F.sum(F.size("alone")).alias("n"))
-    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    in_part = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.withColumn("mine", F.coalesce(F.sum(F.size("alone")).over(in_part), F.lit(0))).join(sums, "part")
-    number = F.lit(first) + F.col("before") + F.col("mine")
-    alone = pieces.select("doc_id", "doc_tokens", number.alias("number"), F.posexplode("alone").alias("i", "p"))
-    alone = alone.select("doc_id", F.col("p.start"), F.col("p.length"), F.col("p.crc").alias("ids_crc32"), "doc_tokens", (F.col("number") + F.col("i")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    placed = pieces.select("doc_id", "doc_tokens", F.explode("placed").alias("p"))
-    placed = placed.select("doc_id", "p.start", "p.length", F.col("p.crc").alias("ids_crc32"), "doc_tokens", "p.sequence_id", "p.offset")
-    return alone.unionByName(placed)
+                    out[-1].append({"start": start + s, "length": m, "crc": crc if m == n else zlib.crc32(ids[4 * s : 4 * (s + m)]), "sequence_id": q, "offset": at})
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("doc_tokens"), pa.array(out, kind)], ["doc_id", "doc_tokens", "placed"])
+
+    placed = ranked.mapInArrow(put, f"doc_id bigint, doc_tokens bigint, placed {_PLACED}").select("doc_id", "doc_tokens", F.explode("placed").alias("p"))
+    out = scratch.save(placed.select("doc_id", "p.start", "p.length", F.col("p.crc").alias("ids_crc32"), "doc_tokens", "p.sequence_id", "p.offset"), "out")
+    scratch.drop("tokens", "parts")
+    return out
