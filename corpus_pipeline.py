@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input.
+
+Language ID and decontamination judge each row by its own text. Exact deduplication keeps one row of each text, told apart by
+its place in the files, near-deduplication one document (an id and its text) of each group; other texts of an id, and rows
+without an id, are documents of their own. Null, empty and blank texts have no language and go in the first stage. All
+stages but the last return the columns of documents, whatever they are; an empty table gives no rows at every stage.
+"""
 
 from __future__ import annotations
 
