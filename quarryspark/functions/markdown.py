@@ -13,8 +13,8 @@ def _chain(s: Column, steps: tuple[tuple[str, str], ...]) -> Column:
 
 
 def strip_markdown(s: Column) -> Column:
-    """Plain text: no fences, code, images or line marks; links as their text."""
-    return _chain(s, ((r"(?s)(```|~~~).*?(\1|\z)", " "), (r"`([^`]*)`", "$1"), (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^[ \t]*(#{1,6}|>|[-*+]|\d+\.)[ \t]+", ""), (r"[ \t]{2,}", " "), (r"^\s+|\s+$", "")))
+    """Plain text on one line: no fences, code, images or line marks; links as their text."""
+    return _chain(s, ((r"(?s)```.*?```", " "), (r"`[^`]*`", " "), (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?Um)^[>#*\-|:\s]+", " "), (r"(?U)\s+", " "), (r"^\s+|\s+$", "")))
 
 
 def cleanup_markdown(s: Column) -> Column:

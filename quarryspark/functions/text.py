@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,14 +24,25 @@ PT_MARKERS = "de que nao para com uma por dos das como mais mas foi voce sao seu
 EN_MARKERS = "the of and to in is you that it for on with as are this from at be have has was were what when where which how why not but".split()
 
 STOPWORDS = sorted({*STOPWORDS_PT, *STOPWORDS_EN})
-_ACCENTED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
-_PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
-assert len(_ACCENTED) == len(_PLAIN)
+
+
+def _letters() -> tuple[str, str]:
+    """Lower-case letters of the basic plane that are one other letter once decomposed and without marks U+0300 to U+036F; then the marks, which have none."""
+    found = []
+    for c in map(chr, (*range(0xC0, 0xD800), *range(0xE000, 0xFFFE))):
+        plain = "".join(x for x in unicodedata.normalize("NFD", c) if x not in _MARKS)
+        if c == c.lower() and plain != c and len(plain) == 1:
+            found.append((c, plain.lower()))
+    return "".join(c for c, _ in found) + _MARKS, "".join(p for _, p in found)
+
+
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
+_ACCENTED, _PLAIN = _letters()
 MASK, CUT = "\uE000", "\uE001"  # private-use characters that no text has
 
 
 def fold(s: Column) -> Column:
-    """Lower case without accents (Latin letters)."""
+    """Lower case without accents, composed or not. Letters that decompose to several, such as Hangul syllables, stay whole."""
     return F.translate(F.lower(s), _ACCENTED, _PLAIN)
 
 
@@ -101,6 +114,41 @@ def detect_language(s: Column) -> Column:
     return F.when((pt == 0) & (en == 0), "und").when(pt >= en * 1.2, "pt").when(en >= pt * 1.2, "en").otherwise("und")
 
 
+def content_terms(s: Column) -> Column:
+    """Distinct folded words of over three characters that are no stop words."""
+    return F.array_distinct(F.filter(F.transform(words(s), fold), lambda x: (F.length(x) > 3) & ~is_stopword(x)))
+
+
+def first_non_empty(*values: Column) -> Column:
+    """The first value that isn't blank, as it is."""
+    return F.coalesce(*(F.when(~v.rlike(r"^\s*$"), v) for v in values))
+
+
+def strip_fence(s: Column) -> Column:
+    """What stands in a fence of a text that begins with one; other texts trimmed."""
+    s = F.regexp_replace(s, r"^\s+|\s+$", "")
+    return F.when(s.startswith("```"), F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"(?i)^```[a-z]*\n?", ""), r"```$", ""), r"^\s+|\s+$", "")).otherwise(s)
+
+
+def first_json(s: Column) -> Column:
+    """The text itself if it is JSON, else from its first { to its last } if that is; null if neither."""
+    inner = F.regexp_extract(s, r"(?s)(\{.*\})", 1)
+    return F.coalesce(F.when(F.try_parse_json(s).isNotNull(), s), F.when(F.try_parse_json(inner).isNotNull(), inner))
+
+
+def query_key(s: Column) -> Column:
+    """Queries with one key are the same query."""
+    return F.trim(F.regexp_replace(F.lower(s), r"(?U)\s+", " "))
+
+
+def query_variants(query: Column, variants: Column, most: int) -> Column:
+    """The query, then variants of 3 to 300 characters, `most` of them, without repeats."""
+    fit = F.filter(F.transform(F.coalesce(variants, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: F.length(x).between(3, 300))
+    given = F.filter(F.concat(F.array(F.trim(query)), F.slice(fit, 1, most)), lambda x: query_key(x) != "")
+    keys = F.transform(given, query_key)
+    return F.filter(given, lambda x, i: F.array_position(keys, F.element_at(keys, i + 1)) == i + 1)
+
+
 def content_words(s: Column) -> Column:
     """Stemmed words of over two characters that are no stop words, with repeats."""
     return F.transform(F.filter(F.split(fold(s), r"[^\p{L}\p{N}]+"), lambda x: (F.length(x) > 2) & ~is_stopword(x)), stem)

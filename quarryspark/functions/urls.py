@@ -18,6 +18,27 @@ def path(url: Column) -> Column:
     return F.when(p == "", "/").otherwise(p)
 
 
+def target(url: Column) -> Column:
+    """Path and query of a url, as robots rules see them."""
+    return F.concat(path(url), F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1))
+
+
+def in_scope(url: Column, origin: Column, folder: Column) -> Column:
+    """Whether a http url has the origin's host and lies in its folder, if there is one."""
+    return F.coalesce(is_http(url) & (host(url) == host(origin)) & (folder.isNull() | path(url).startswith(folder)), F.lit(False))
+
+
+def absolute(href: str, base: str) -> str:
+    """href as seen from base; as it is where that makes no url."""
+    from urllib.parse import urljoin, urlsplit
+
+    try:
+        found = urljoin(base, href.strip())
+        return found if urlsplit(found).scheme else href
+    except ValueError:
+        return href
+
+
 def domain(url: Column) -> Column:
     return F.regexp_replace(host(url), r"^www\.", "")
 
