@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -14,12 +15,28 @@ SETTINGS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
+#: What a run that nobody submitted gets besides.
+LOCAL = {"spark.driver.memory": "12g", "spark.sql.shuffle.partitions": "8"}
+
+
+def submitted() -> set[str]:
+    """Settings that spark-submit or a running session has given; they are left as they are."""
+    running = SparkSession.getActiveSession()
+    if running is not None:
+        return {k for k, _ in running.sparkContext.getConf().getAll()} | {"spark.master"}
+    if "PYSPARK_GATEWAY_PORT" not in os.environ:
+        return set()
+    SparkContext._ensure_initialized()
+    return {k for k, _ in SparkConf().getAll()}
 
 
 def session(master: str | None = None, **more: str) -> SparkSession:
-    """A local session by default; on a cluster the submitted settings hold and only unset ones are added."""
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = SparkSession.builder.master(master or f"local[{cpus}]").config("spark.driver.memory", "12g").config("spark.sql.shuffle.partitions", "8")
-    for k, v in {**SETTINGS, **more}.items():
+    """A local session by default; where a job was submitted its settings hold, its master too, and only unset ones are added. more: settings that hold in any case."""
+    given, builder = submitted(), SparkSession.builder
+    if master or "spark.master" not in given:
+        builder = builder.master(master or f"local[{os.environ.get('BENCH_CPUS', '8')}]")
+        given -= {"spark.master"}
+    here = SETTINGS if "spark.master" in given else SETTINGS | LOCAL
+    for k, v in ({k: v for k, v in here.items() if k not in given} | more).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
