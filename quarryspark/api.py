@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 from datetime import date
@@ -9,11 +11,14 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import text as T
 from .functions import urls as U
 from .operators import answer as A
+from .operators import decision as D
 from .operators import judge as J
 from .operators import retrieval as R
 from .operators import understand as Q
+from .operators.index import Index
 from .plans import search as P
 from .sources import html
 
@@ -103,14 +108,99 @@ class SearchRequest:
         return r
 
 
+def _http(value) -> bool:
+    return isinstance(value, str) and bool(re.match(r"(?i)https?://[^/?#]", value))
+
+
+#: Fields of the other requests: kind, least and most, default. urls: one or a list of so many.
+_BODIES = {
+    "extract": {"urls": ("urls", 1, 20, None), "include_images": ("bool", None, None, False), "extract_depth": (("basic", "advanced"), None, None, "basic"), "format": (("markdown", "text"), None, None, "markdown")},
+    "crawl": {"url": ("url", None, None, None), "mode": (("page", "site", "queue"), None, None, "page"), "max_depth": ("int", 0, 6, 3), "max_pages": ("int", 1, 500, None), "force": ("bool", None, None, False)},
+    "index": {"urls": ("urls", 1, 50, None), "mode": (("page", "site"), None, None, "page"), "force": ("bool", None, None, False)},
+    "evaluate": {"state": ("any", None, None, None), "questions": ("questions", None, None, None), "model": ("str", None, None, "")},
+}
+_NEEDED = {"urls", "url", "questions", "state"}
+
+
+def parse_body(kind: str, body: dict) -> dict:
+    """A checked request to extract, crawl, index or evaluate, with its defaults; unknown fields are errors."""
+    known = _BODIES[kind]
+    errors = [(k, "unknown field") for k in body if k not in known]
+    out = {}
+    for name, (what, least, most, default) in known.items():
+        value = body.get(name)
+        if value is None:
+            if name in _NEEDED and not (name == "state" and name in body):
+                errors.append((name, "is needed"))
+            out[name] = default
+            continue
+        if what == "urls":
+            value = [value] if isinstance(value, str) else value
+            ok = isinstance(value, list) and least <= len(value) <= most and all(map(_http, value))
+            message = f"must be {least} to {most} urls"
+        elif what == "url":
+            ok, message = _http(value), "must be a url"
+        elif what == "bool":
+            ok, message = isinstance(value, bool), "must be true or false"
+        elif what == "int":
+            ok, message = isinstance(value, int) and not isinstance(value, bool) and least <= value <= most, f"must be from {least} to {most}"
+        elif what == "questions":
+            ok = isinstance(value, dict) and bool(value) and all(isinstance(q, dict) and q.get("type") in ("noul", "choice", "score") for q in value.values())
+            message = "must be at least one question of a known type"
+        elif isinstance(what, tuple):
+            ok, message = value in what, f"must be one of {', '.join(what)}"
+        else:
+            ok, message = what == "any" or isinstance(value, str), "must be a text"
+        if not ok:
+            errors.append((name, message))
+        out[name] = value
+    if errors:
+        raise RequestError(errors)
+    return out
+
+
+def redacted(response: dict) -> dict:
+    """A response as it is kept, without its trace."""
+    return {k: v for k, v in response.items() if k != "trace"}
+
+
+def log_line(level: str, message: str, least: str = "info", **more) -> str | None:
+    """A line of JSON for a log, or None below the least level."""
+    levels = ("debug", "info", "warn", "error")
+    return json.dumps({"level": level, "message": message, **more}, sort_keys=True, default=str) if levels.index(level) >= levels.index(least) else None
+
+
 class Engine:
     """docs: doc_id, text, host, lang, published, and title where second rounds are wanted; vectors: doc_id, vector.
 
     embedder: gives (item_id, vector) for queries (item_id, text), in the space of vectors; without one the search is lexical.
+    index: one of docs; it is built when first needed otherwise. generator: gives (item_id, variants) for (item_id, text, strategy, most).
+    policy: thresholds, those of an engine that isn't calibrated by default.
     """
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, vectors: DataFrame | None = None, embedder: Callable[[DataFrame], DataFrame] | None = None):
-        self.spark, self.docs, self.vectors, self.embedder = spark, docs, vectors, embedder
+    def __init__(self, spark: SparkSession, docs: DataFrame, vectors: DataFrame | None = None, embedder: Callable[[DataFrame], DataFrame] | None = None, index: Index | None = None, generator: Callable[[DataFrame], DataFrame] | None = None, policy: J.Policy = J.UNCALIBRATED):
+        self.spark, self.docs, self.vectors, self.embedder, self._index, self.generator, self.policy = spark, docs, vectors, embedder, index, generator, policy
+
+    @property
+    def index(self) -> Index:
+        if self._index is None:
+            self._index = Index.build(self.docs.select("doc_id", "text", *(c for c in ("title", "heading_path") if c in self.docs.columns)))
+        return self._index
+
+    def evaluate(self, body: dict, engine: D.Engine) -> D.Reply:
+        """An engine's answers to questions about a state: no cache, and failures are raised."""
+        body = parse_body("evaluate", body)
+        questions = [D.Question(k, q["type"], str(q.get("instructions", "")), tuple(map(str, q.get("criteria") or ()))) for k, q in body["questions"].items()]
+        return engine.evaluate(json.dumps(body["state"], sort_keys=True), questions)
+
+    def variants(self, plans: DataFrame) -> DataFrame:
+        """(item_id, text): each query, and where its plan widens it and there is a generator its variants. plans: item_id, text, strategy."""
+        most = F.when(F.col("strategy") == "keyword_variants", 3).otherwise(4)
+        if self.generator is None:
+            return plans.select("item_id", "text")
+        asked = plans.where("strategy <> 'none'").select("item_id", "text", "strategy", most.alias("most"))
+        rows = plans.join(self.generator(asked).select("item_id", "variants"), "item_id", "left")
+        return rows.select("item_id", F.explode(T.query_variants(F.col("text"), F.when(F.col("strategy") != "none", F.col("variants")), most)).alias("text"))
 
     def understand(self, requests: list[dict | SearchRequest]) -> DataFrame:
         """The plan of each request; item_id is its place in the list."""
@@ -137,7 +227,7 @@ class Engine:
         for i, r in enumerate(map(SearchRequest.of, requests)):
             page, query = self._page(i, r, now), self._query(i, r)
             written = A.write(A.claims(page, query, self.docs), query)
-            rows = written.join(J.verdicts(page, query).select("item_id", "reason"), "item_id")
+            rows = written.join(J.verdicts(page, query, self.policy).select("item_id", "reason"), "item_id")
             rows = rows.withColumn("answer", F.when(F.col("reason").isNull(), F.col("answer")))
             out = rows if out is None else out.unionByName(rows)
         return out
@@ -147,23 +237,30 @@ class Engine:
 
     def _page(self, i: int, r: SearchRequest, now: date) -> DataFrame:
         queries, plan = self._query(i, r), self.understand([r]).first()  # one row
-        lists = [("lexical", R.LEXICAL_WEIGHT, R.bm25(queries, self.docs, R.POOL))]
-        if self.vectors is not None and self.embedder is not None:
-            lists.append(("dense", R.DENSE_WEIGHT, R.dense(self.embedder(queries), self.vectors, R.POOL)))
-        found = R.fuse(lists)
+        asked = self.variants(self.understand([r])).select(F.monotonically_increasing_id().alias("item_id"), "text")
+        each = R.depth(asked.count() if self.generator else 1)
+        found = R.fuse([(c, w, x.withColumn("item_id", F.lit(i).cast("long"))) for c, w, x in self._lists(asked, each)])
         lit = lambda x: None if x is None else F.lit(x).cast("date") if isinstance(x, str) else x
         since = r.start_date or (F.date_sub(F.lit(now), RANGES[r.time_range]) if r.time_range else None)
         docs = P.passes(self.docs, [*map(str, r.include_domains)], [*map(str, r.exclude_domains)], r.language if r.filter_by_language else "", lit(since), lit(r.end_date), r.filter_by_published_date, r.safe_search)
         if plan["rounds"] > 1 and "title" in self.docs.columns:
-            more = P.second_round(queries, self.docs, found, plan["pool"]).select("item_id", "doc_id", "rank")
+            nearest = None if self.vectors is None or self.embedder is None else lambda q: R.dense(self.embedder(q), self.vectors, R.POOL)
+            more = P.second_round(queries, self.docs, found, plan["pool"], self.index, nearest).select("item_id", "doc_id", "rank")
             known = found.drop("rank")
             found = more.join(known, ["item_id", "doc_id"], "left")
             # What only the second round found came by its words.
             found = found.withColumn("lexical", F.coalesce("lexical", F.when(F.col("fused").isNull(), 1.0))).withColumn("channels", F.coalesce("channels", F.lit(1)))
         found = found.where(F.col("rank") <= plan["pool"]).join(docs.select("doc_id"), "doc_id", "left_semi")
-        near = R.collapse_near(found, R.simhash_bits(self.docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")))
+        near = R.collapse_near(found, self.index.hashes())
         found = found.join(near.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_semi")
-        return P.page(P.judged(queries, self.docs, found), r.max_results)
+        return P.page(P.judged(queries, self.docs, found, self.policy), r.max_results, self.policy)
+
+    def _lists(self, asked: DataFrame, each: int) -> list[tuple[str, float, DataFrame]]:
+        """Ranked lists of both channels for queries (item_id, text)."""
+        lists = [("lexical", R.LEXICAL_WEIGHT, self.index.bm25(asked, each))]
+        if self.vectors is not None and self.embedder is not None:
+            lists.append(("dense", R.DENSE_WEIGHT, R.dense(self.embedder(asked), self.vectors, each)))
+        return lists
 
     def extract(self, pages: DataFrame) -> DataFrame:
         """A row per page with its status: ok, or what was wrong."""
@@ -172,5 +269,4 @@ class Engine:
         return found.withColumn("status", F.coalesce(status, F.lit("bad_url")))
 
     def stats(self) -> DataFrame:
-        terms = R.tokens(self.docs).agg(F.countDistinct("term").alias("terms"))
-        return self.docs.agg(F.count(F.lit(1)).alias("docs"), F.countDistinct("host").alias("hosts")).crossJoin(F.broadcast(terms))
+        return self.docs.agg(F.count(F.lit(1)).alias("docs"), F.countDistinct("host").alias("hosts")).crossJoin(F.broadcast(self.index.stats().select("terms")))

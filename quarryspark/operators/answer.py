@@ -54,3 +54,40 @@ def shaped(page: DataFrame, docs: DataFrame, raw: int | None = 6000) -> DataFram
     rows = page.join(docs.select("doc_id", "text"), "doc_id")
     more = [] if raw is None else [T.truncate(F.col("text"), raw).alias("raw_content")]
     return rows.select("item_id", "position", "doc_id", T.truncate(F.col("text"), 1500).alias("content"), *more, F.col("composite").alias("score"), F.when(F.col("route") == "exclude", "excluded").otherwise(F.col("route")).alias("route"))
+
+
+def verified(claims: DataFrame, evidence: DataFrame, least: float = SUPPORTED) -> DataFrame:
+    """claims: item_id, n, claim, sources (ids, the first counts); evidence: item_id, doc_id, text. Adds support, quote, kept: a claim whose source isn't among the evidence has none."""
+    rows = claims.withColumn("doc_id", F.get("sources", F.lit(0))).join(evidence.select("item_id", "doc_id", F.col("text").alias("source")), ["item_id", "doc_id"], "left")
+    best = best_span(F.array_distinct(T.content_words(F.col("claim"))), F.col("source"))
+    rows = rows.withColumn("best", best).withColumn("support", F.when(F.col("source").isNull(), 0.0).otherwise(support(F.col("claim"), F.col("source"))))
+    found = F.when(F.col("source").isNull(), "").otherwise(quote(F.col("best"), F.col("source")))
+    return rows.select("item_id", "n", "claim", "doc_id", "support", found.alias("quote"), (F.col("source").isNotNull() & (F.col("support") >= least)).alias("kept"))
+
+
+def surviving(found: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The evidence that claims which were kept rest on."""
+    return evidence.join(found.where("kept").select("item_id", "doc_id").distinct(), ["item_id", "doc_id"], "left_semi")
+
+
+def repaired(written: DataFrame, found: DataFrame, evidence: DataFrame, writer=None) -> DataFrame:
+    """(item_id, answer, n_kept, n_dropped, rewritten). written: item_id, answer.
+
+    Where claims were dropped and some were kept, writer (item_id, doc_id, text of the surviving evidence, to item_id, answer)
+    writes once more; where it doesn't, the answer says how many claims were left out.
+    """
+    n = found.groupBy("item_id").agg(F.count_if("kept").alias("n_kept"), F.count_if(~F.col("kept")).alias("n_dropped"))
+    rows = written.select("item_id", "answer").join(n, "item_id", "left").fillna({"n_kept": 0, "n_dropped": 0})
+    again = F.lit(None).cast("string")
+    if writer is not None:
+        broken = rows.where("n_dropped > 0 and n_kept > 0").select("item_id")
+        rows = rows.join(writer(surviving(found, evidence).join(broken, "item_id", "left_semi")).select("item_id", F.col("answer").alias("_again")), "item_id", "left")
+        again = F.col("_again")
+    note = F.concat("answer", F.lit("\n\n("), F.col("n_dropped").cast("string"), F.lit(" of its claims had no support in their source and were left out.)"))
+    answer = F.when(F.col("n_dropped") == 0, F.col("answer")).otherwise(F.coalesce(again, note))
+    return rows.select("item_id", answer.alias("answer"), "n_kept", "n_dropped", ((F.col("n_dropped") > 0) & again.isNotNull()).alias("rewritten"))
+
+
+def citations(found: DataFrame) -> DataFrame:
+    """(item_id, n, doc_id, quote, support, confidence, verified) of the claims that were kept; one without a quote is not verified."""
+    return found.where("kept").select("item_id", "n", "doc_id", "quote", "support", F.lit(1.0).alias("confidence"), (F.length("quote") > 0).alias("verified"))

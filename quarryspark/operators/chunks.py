@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .store import pack_sentences
+from .store import chunk_ends, pieces
 
 TARGET, MOST = 220, 400
 _HEADING = re.compile(r" {0,3}(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$")
@@ -77,15 +77,18 @@ def _groups(most: int):
 
 
 def chunk_documents(docs: DataFrame, target: int = TARGET, most: int = MOST) -> DataFrame:
-    """docs: url, title, markdown: (id, url, ord, heading_path, text, tokens, content_hash).
+    """docs: url, title, markdown: (id, url, ord, heading_path, text, tokens, lang, content_hash).
 
-    Headings are a fold over lines, so Arrow batches find them, one pass a document; sentences are cut and packed in the
-    JVM. Numbers come from the place in a document's own array, so nothing is shuffled. Empty documents have no chunk.
+    Headings are a fold over lines, so Arrow batches find them, one pass a document; sentences are cut and packed from their
+    token counts. Numbers come from the place in a document's own array, so nothing is shuffled. Tokens are those of the plain
+    text, the language that of the heading path and the beginning of the section. Empty documents have no chunk.
     """
     rows = docs.select(F.col("url").cast("string"), "title", "markdown").mapInArrow(_groups(most), "url string, groups array<struct<heading:array<string>,body:string>>")
-    packed = F.flatten(F.transform("groups", lambda g: F.transform(pack_sentences(T.sentences(g["body"]), target, most), lambda xs: F.struct(g["heading"].alias("heading_path"), xs.alias("xs")))))
-    rows = rows.select("url", F.posexplode(packed).alias("ord", "c")).select("url", "ord", "c.heading_path", T.plain_markdown(F.concat_ws(" ", "c.xs")).alias("plain"), "c.xs")
-    text = F.when(F.col("plain") == "", F.concat_ws(" ", "xs")).otherwise(F.col("plain"))
+    rows = rows.withColumn("s", F.transform("groups", lambda g: T.sentences(g["body"])))
+    rows = rows.withColumn("ends", chunk_ends(target, most)(F.transform("s", lambda xs: F.transform(xs, T.estimate_tokens))))
+    rows = rows.withColumn("texts", F.zip_with("s", "ends", lambda xs, es: F.filter(F.transform(pieces(xs, es), lambda x: T.plain_markdown(F.concat_ws(" ", x))), lambda x: x != "")))
+    lang = lambda g: T.detect_language(F.concat(F.concat_ws(" ", g["heading"]), F.lit(" "), F.substring(g["body"], 1, 400)))
+    chunks = F.flatten(F.zip_with("groups", "texts", lambda g, xs: F.transform(xs, lambda x: F.struct(g["heading"].alias("heading_path"), lang(g).alias("lang"), x.alias("text")))))
+    rows = rows.select("url", F.posexplode(chunks).alias("ord", "c"))
     ident = F.concat(F.substring(F.sha1(F.col("url").cast("binary")), 1, 10), F.lit("-"), F.lower(F.conv(F.col("ord").cast("string"), 10, 36)))
-    tokens = F.aggregate(F.transform("xs", T.estimate_tokens), F.lit(0), lambda a, b: a + b)
-    return rows.select(ident.alias("id"), "url", F.col("ord").cast("long").alias("ord"), "heading_path", text.alias("text"), tokens.alias("tokens"), F.substring(F.sha2(text, 256), 1, 32).alias("content_hash"))
+    return rows.select(ident.alias("id"), "url", F.col("ord").cast("long").alias("ord"), "c.heading_path", "c.text", T.estimate_tokens(F.col("c.text")).alias("tokens"), "c.lang", F.substring(F.sha2(F.col("c.text"), 256), 1, 32).alias("content_hash"))

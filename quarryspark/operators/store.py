@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,20 +65,109 @@ def polite_schedule(rows: DataFrame, default_ms: int = 1000) -> DataFrame:
     return rows.select("host", "url", ((F.row_number().over(Window.partitionBy("host").orderBy("order", "url")) - 1) * delay).cast("long").alias("at_ms"))
 
 
-def rate_limit(rows: DataFrame, limit: int, window_ms: int) -> DataFrame:
-    """rows: key, t_ms, id: (key, id, allowed, used) under windows that begin at a key's first request and end after window_ms.
+#: Windows that a segment of a key's time is long: a busy key's requests are dealt out by segments.
+SEGMENT = 16
 
-    A key's requests are folded in order; a window's start depends on the one before it, so no SQL frame can hold it.
-    """
-    xs = rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("t_ms", "id"))).alias("xs"))
-    state = F.struct(F.lit(None).cast("long").alias("start"), F.lit(0).alias("used"), F.array().cast("array<struct<id:bigint,allowed:boolean,used:int>>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        new = s["start"].isNull() | (x["t_ms"] - s["start"] >= window_ms)
-        used = F.when(new, 1).otherwise(s["used"] + 1)
-        return F.struct(F.when(new, x["t_ms"]).otherwise(s["start"]).alias("start"), used.alias("used"), F.concat(s["out"], F.array(F.struct(x["id"].alias("id"), (used <= limit).alias("allowed"), used.alias("used")))).alias("out"))
+def rate_limit(rows: DataFrame, limit: int, window_ms: int, segment: int = SEGMENT) -> DataFrame:
+    """rows: key, t_ms, id: (key, id, allowed, used) under windows that begin at a key's first request and end after window_ms.
 
-    return xs.select("key", F.explode(F.aggregate("xs", state, step)["out"]).alias("r")).select("key", "r.id", "r.allowed", "r.used")
+    A window's start depends on the one before it, so no SQL frame can hold it. Time is cut into segments of `segment` windows;
+    a segment tells, for every start it may inherit, which start and count it hands on. That is a step function with few steps,
+    as chains that begin at different requests soon meet. One row a segment is then walked along a key, and the segments'
+    requests are numbered in parallel. Tasks read sorted requests as a stream and hold one segment of one key.
+    """
+    span = segment * window_ms
+    rows = rows.select("key", "t_ms", "id").withColumns({"k": F.xxhash64("key"), "seg": F.floor(F.col("t_ms") / span).cast("long")})
+    dealt = rows.repartition("k", "seg").sortWithinPartitions("k", "seg", "t_ms", "id")
+    steps = dealt.select("k", "seg", "t_ms").mapInArrow(_segments(lambda *x: _steps(*x, window_ms)), "k bigint, seg bigint, n bigint, ups array<bigint>, starts array<bigint>, used array<bigint>")
+    walked = steps.repartition("k").sortWithinPartitions("k", "seg").mapInArrow(_walk(window_ms), "k bigint, seg bigint, start bigint, before bigint")
+    both = rows.join(walked, ["k", "seg"]).repartition("k", "seg").sortWithinPartitions("k", "seg", "t_ms", "id")
+    kind = rows.schema["key"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
+    out = both.select("k", "seg", "t_ms", "key", "id", "start", "before").mapInArrow(_segments(lambda *x: _numbered(*x, window_ms, limit), rest=("key", "id", "start", "before")), f"key {kind[0]}, id {kind[1]}, allowed boolean, used int")
+    return out
+
+
+def _segments(f, rest: tuple[str, ...] = ()):
+    """Applies f(k, seg, times, table) to each segment of batches that are sorted by k and seg; a segment may span batches."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            k, seg = table.column("k").to_numpy(), table.column("seg").to_numpy()
+            cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]) | (seg[1:] != seg[:-1])) + 1).tolist()]
+            found = [f(int(k[a]), int(seg[a]), table.column("t_ms").to_numpy()[a:b], table.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])]
+            if found:
+                yield from pa.Table.from_batches(found).combine_chunks().to_batches()
+            held = table.slice(cuts[-1])
+        if held is not None:
+            yield f(int(held.column("k")[0].as_py()), int(held.column("seg")[0].as_py()), held.column("t_ms").to_numpy(), held.combine_chunks())
+
+    return run
+
+
+def _steps(k: int, seg: int, t: np.ndarray, _, window: int) -> pa.RecordBatch:
+    """For a start s before this segment: the first of ups that is s + window or later tells the last start in here and its requests; none: the start goes on."""
+    n = len(t)
+    after = np.searchsorted(t, t + window)
+    last = np.arange(n)
+    while (more := after[last] < n).any():
+        last = np.where(more, after[last.clip(max=n - 1)].clip(max=n - 1), last)
+    first = np.unique(np.searchsorted(t, t[: np.searchsorted(t, t[0] + window) + 1]))
+    ends = last[first]
+    keep = np.append(ends[1:] != ends[:-1], True)
+    ups, ends = t[first][keep], ends[keep]
+    whole = lambda x: pa.array([x.tolist()], pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array([k]), pa.array([seg]), pa.array([n]), whole(ups), whole(t[ends]), whole(n - ends)], ["k", "seg", "n", "ups", "starts", "used"])
+
+
+def _walk(window: int):
+    """The start and the number of its requests that each segment of a key inherits, key after key in order."""
+
+    def run(batches):
+        key = start = None
+        used = 0
+        for batch in batches:
+            out = []
+            for k, seg, n, ups, starts, counts in zip(*(batch.column(c).to_pylist() for c in ("k", "seg", "n", "ups", "starts", "used"))):
+                if k != key:
+                    key, start, used = k, None, 0
+                out.append((k, seg, start, used))
+                i = 0 if start is None else bisect_left(ups, start + window)
+                start, used = (starts[i], counts[i]) if i < len(ups) else (start, used + n)
+            cols = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["k", "seg", "start", "before"])
+
+    return run
+
+
+def _numbered(k: int, seg: int, t: np.ndarray, table: pa.Table, window: int, limit: int) -> pa.RecordBatch:
+    start, used = table.column("start")[0].as_py(), table.column("before")[0].as_py()
+    out, at = np.empty(len(t), np.int64), 0
+    while at < len(t):
+        end = int(np.searchsorted(t, start + window)) if start is not None else 0
+        if end <= at:  # the next request begins a window
+            start, used, end = int(t[at]), 0, int(np.searchsorted(t, t[at] + window))
+        out[at:end] = used + np.arange(1, end - at + 1)
+        used, at = used + end - at, end
+    key, id_ = (table.column(c).combine_chunks() for c in ("key", "id"))
+    flat = lambda x: x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
+    return pa.RecordBatch.from_arrays([flat(key), flat(id_), pa.array(out <= limit), pa.array(out, pa.int32())], ["key", "id", "allowed", "used"])
+
+
+def limiter_state(taken: DataFrame, limit: int, window_ms: int, now_ms: int) -> DataFrame:
+    """What a look at the limiter shows without using anything up. taken: key, start_ms, used. An elapsed window is shown as it stands until a request replaces it."""
+    left = F.greatest(F.lit(0), F.col("start_ms") + window_ms - now_ms)
+    return taken.select("key", (F.col("used") < limit).alias("allowed"), F.greatest(F.lit(0), F.lit(limit) - F.col("used")).alias("remaining"), F.greatest(F.lit(1), F.ceil(left / 1000)).cast("long").alias("reset_seconds"))
+
+
+def evicted(taken: DataFrame, most: int, order: list) -> DataFrame:
+    """The state without the keys that were first to come, once there are over `most`: limiter windows, or a cache's entries."""
+    return taken.orderBy(*(F.desc(c) for c in order)).limit(most)
 
 
 def live(cache: DataFrame, now: Column, order: list) -> DataFrame:
@@ -82,20 +175,40 @@ def live(cache: DataFrame, now: Column, order: list) -> DataFrame:
     return cache.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where((F.col("_r") == 1) & (F.col("expires_at") >= now)).drop("_r")
 
 
-def pack_sentences(sentences: Column, target: int = 220, most: int = 400) -> Column:
-    """Chunks of sentences: one is closed before it would pass `most` tokens and once it has `target`."""
+def pack_sentences(rows: DataFrame, sentences: str, into: str, target: int = 220, most: int = 400) -> DataFrame:
+    """rows with chunks of a column of sentences: one is closed before it would pass `most` tokens and once it has `target`. The fold runs over token counts alone, in linear time."""
     from ..functions.text import estimate_tokens
 
-    init = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"))
+    rows = rows.withColumn(into, chunk_ends(target, most)(F.array(F.transform(sentences, estimate_tokens))))
+    return rows.withColumn(into, pieces(F.col(sentences), F.col(into)[0]))
+
+
+def pieces(xs: Column, ends: Column) -> Column:
+    """An array cut after so many elements each."""
+    before = lambda i: F.when(i == 0, 0).otherwise(F.element_at(ends, F.greatest(i, F.lit(1))))
+    return F.transform(ends, lambda e, i: F.slice(xs, before(i) + 1, e - before(i)))
+
 
-    def step(s: Column, x: Column) -> Column:
-        n = estimate_tokens(x)
-        over = (F.size(s["open"]) > 0) & (s["n"] + n > most)
-        done, open_, total = F.when(over, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]), F.when(over, F.array(x)).otherwise(F.concat(s["open"], F.array(x))), F.when(over, n).otherwise(s["n"] + n)
-        full = total >= target
-        return F.struct(F.when(full, F.concat(done, F.array(open_))).otherwise(done).alias("done"), F.when(full, F.array().cast("array<string>")).otherwise(open_).alias("open"), F.when(full, 0).otherwise(total).alias("n"))
+def chunk_ends(target: int, most: int):
+    """A function of token counts, an array for each section: after how many sentences each of its chunks ends."""
 
-    return F.aggregate(sentences, init, step, lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]))
+    def fold(ns: list[int]) -> list[int]:
+        found, total, open_ = [], 0, False
+        for i, n in enumerate(ns):
+            if open_ and total + n > most:
+                found.append(i)
+                total = 0
+            total, open_ = total + n, True
+            if total >= target:
+                found.append(i + 1)
+                total, open_ = 0, False
+        return found + [len(ns)] if open_ else found
+
+    @F.arrow_udf("array<array<int>>")
+    def ends(sections: pa.Array) -> pa.Array:
+        return pa.array([[fold(ns or []) for ns in part or []] for part in sections.to_pylist()], pa.list_(pa.list_(pa.int32())))
+
+    return ends
 
 
 def complete(queue: DataFrame, done: DataFrame) -> DataFrame:
@@ -121,3 +234,56 @@ def admit(requests: DataFrame, keys: DataFrame, limit: int, window_ms: int) -> D
 def latest_trace(traces: DataFrame, trace_id: str) -> DataFrame:
     """The last one saved under an id. traces: trace_id, saved_at, body."""
     return traces.where(F.col("trace_id") == trace_id).orderBy(F.desc("saved_at")).limit(1)
+
+
+def get(table: DataFrame, keys: DataFrame, key: str = "url") -> DataFrame:
+    """The rows of a batch of keys; keys that the table doesn't have give none."""
+    return table.join(keys.select(key).distinct(), key, "left_semi").select(table.columns)
+
+
+def chunks_of(chunks: DataFrame, urls: DataFrame) -> DataFrame:
+    """The chunks of some urls in their order."""
+    return get(chunks, urls).orderBy("url", "ord")
+
+
+def set_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """chunks with new vectors (id, vector) where there are any."""
+    return chunks.join(vectors.select("id", F.col("vector").alias("_v")), "id", "left").withColumn("vector", F.coalesce("_v", "vector")).select(chunks.columns)
+
+
+def vector_counts(chunks: DataFrame) -> DataFrame:
+    """chunks, vectors, has_vectors."""
+    return chunks.agg(F.count(F.lit(1)).alias("chunks"), F.count("vector").alias("vectors")).withColumn("has_vectors", F.col("vectors") > 0)
+
+
+def embed_missing(chunks: DataFrame, embedder, most: int = 2000) -> DataFrame:
+    """chunks with vectors for the first `most` (by id) that have none. embedder: gives (id, vector) for (id, text), the text being heading path and text."""
+    missing = chunks.where("vector is null").orderBy("id").limit(most)
+    return set_vectors(chunks, embedder(missing.select("id", F.concat(F.concat_ws(" > ", "heading_path"), F.lit("\n"), F.col("text")).alias("text"))))
+
+
+def touched(docs: DataFrame, urls: DataFrame, now: Column) -> DataFrame:
+    """docs after these urls came back unchanged: fetched now, stale."""
+    hit = urls.select("url", F.lit(True).alias("_t")).distinct()
+    out = docs.join(hit, "url", "left")
+    return out.withColumns({"fetched_at": F.when(F.col("_t"), now).otherwise(F.col("fetched_at")), "stale": F.when(F.col("_t"), 1).otherwise(F.col("stale"))}).select(docs.columns)
+
+
+def fresh_enough(docs: DataFrame) -> DataFrame:
+    """docs without stale ones whose status isn't ok."""
+    return docs.where((F.coalesce("stale", F.lit(0)) == 0) | (F.coalesce("status", F.lit("")) == "ok"))
+
+
+def upsert_aliases(aliases: DataFrame, seen: DataFrame) -> DataFrame:
+    """Redirects by from_url, the latest wins; one to itself is none. Columns: from_url, to_url, seen_at."""
+    return upsert(aliases, seen.where("from_url <> to_url"), "from_url", [F.desc("seen_at"), F.desc("to_url")])
+
+
+def capped(content: Column, most: int) -> Column:
+    """The first `most` bytes of a body."""
+    return F.substring(content, 1, most)
+
+
+def save_trace(spark_rows: DataFrame, path: str) -> None:
+    """Appends traces (trace_id, saved_at, body); the latest of an id counts."""
+    spark_rows.select("trace_id", "saved_at", "body").write.mode("append").parquet(path)
