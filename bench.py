@@ -5,10 +5,10 @@ import os
 import sys
 import time
 
-from quarryspark.plans.catalog import QUERIES
+from quarryspark.plans.catalog import QUERIES, Tables
 from quarryspark.session import session
 
-HEADLINE = ("tokenize_docs", "bm25_topk", "dense_topk", "rrf_hybrid", "simhash_bits", "neardup_pairs", "chunk_stats", "recall_at_k", "search_pipeline", "rate_limit", "domain_cap", "upsert_docs")
+HEADLINE = ("tokenize_docs", "index_build", "bm25_topk", "dense_topk", "rrf_hybrid", "simhash_bits", "neardup_pairs", "chunk_stats", "recall_at_k", "search_pipeline", "rate_limit", "domain_cap", "upsert_docs")
 
 
 def main() -> None:
@@ -19,6 +19,11 @@ def main() -> None:
     took = {}
     for name in HEADLINE:
         began = time.time()
+        if name == "index_build":  # what the queries after it read
+            Tables(spark, sf_dir).index  # noqa: B018
+            took[name] = round(time.time() - began, 3)
+            print(name, took[name], file=sys.stderr, flush=True)
+            continue
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - began, 3)
         print(name, took[name], file=sys.stderr, flush=True)

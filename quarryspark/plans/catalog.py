@@ -17,6 +17,7 @@ from ..operators import judge as J
 from ..operators import retrieval as R
 from ..operators import store as S
 from ..operators import understand as Q
+from ..operators.index import Index
 from ..sources import html, robots
 from . import oracle as O
 from . import search as P
@@ -25,6 +26,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+_INDEXES: dict[tuple[str, str], Index] = {}
+
+
 class Tables:
     """The tables of a folder, in the roles that the plans give them."""
 
@@ -34,9 +38,17 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         rows = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
         cores = self.spark.sparkContext.defaultParallelism
-        # A text table in fewer files than cores would be tokenised by that few tasks.
+        # A table in fewer files than cores would be read by that few tasks; larger ones are left as they are.
         return rows.repartition(cores) if name in ("documents", "embeddings") and len(rows.inputFiles()) < cores else rows
 
+    @property
+    def index(self) -> Index:
+        """The index of the documents, built once a session and folder."""
+        key = self.spark.sparkContext.applicationId, self.dir
+        if key not in _INDEXES:
+            _INDEXES[key] = Index.build(self.documents)
+        return _INDEXES[key]
+
     @property
     def hosted(self) -> DataFrame:
         return self.documents.withColumn("host", F.concat("source", F.lit(".example.org")))
@@ -53,7 +65,7 @@ class Tables:
 
     @property
     def candidates(self) -> DataFrame:
-        return P.candidates(self.benchmark, self.documents, self.vectors)
+        return P.candidates(self.benchmark, self.index, self.vectors)
 
     @property
     def judged(self) -> DataFrame:
@@ -68,8 +80,8 @@ class Tables:
 
     @property
     def queue(self) -> DataFrame:
-        """Users as hosts and events as urls of a crawl queue."""
-        e = self.events.where("event_id % 3 = 0")
+        """Users as hosts and events as urls of a crawl queue; views aren't in it yet."""
+        e = self.events.where("event_type <> 'view'")
         status = F.element_at(F.array(*map(F.lit, ("pending", "active", "done", "error"))), (F.col("event_id") % 4 + 1).cast("int"))
         return e.select(F.concat(F.lit("https://h"), "user_id", F.lit("/"), "event_id").alias("url"), (F.col("event_id") % 5).cast("int").alias("depth"), (F.col("value") % 1.0).alias("priority"), status.alias("status"), F.col("ts").alias("discovered_at"), F.lit(0).alias("attempts"))
 
@@ -168,8 +180,7 @@ def content_words(t):
 
 @query(f"with {O.TOKENS}, dl as (select doc_id, 2 * len({O.KEPT}) dl from documents) select (select count(*) from documents) as docs, (select count(distinct term) from tok) as terms, (select {O.half_up('avg(dl)', 2)} from dl) as avg_length")
 def index_stats(t):
-    terms = R.tokens(t.documents).agg(F.countDistinct("term").alias("terms"))
-    return R.lengths(t.documents).agg(F.count(F.lit(1)).alias("docs"), T.round_half_up(F.avg("dl"), 2).alias("avg_length")).crossJoin(F.broadcast(terms)).select("docs", "terms", "avg_length")
+    return t.index.stats()
 
 
 @query(f"with {O.TOKENS} select term, count(distinct doc_id) as df, count(*) as cf from tok group by 1")
@@ -179,7 +190,7 @@ def term_stats(t):
 
 @query(f"with {O.BM25} select item_id, doc_id, score, rank::int as rank from lex where rank <= 10")
 def bm25_topk(t):
-    return R.bm25(t.benchmark, t.documents, 10)
+    return t.index.bm25(t.benchmark, 10)
 
 
 @query(f"with {O.DENSE} select item_id, doc_id, score, rank::int as rank from den where rank <= 10")
@@ -190,14 +201,14 @@ def dense_topk(t):
 
 @query(f"with {O.FUSED} select item_id, doc_id, fused, channels, lexical, dense, rank::int as rank from fr where rank <= 72")
 def rrf_hybrid(t):
-    return R.hybrid(t.benchmark, t.documents, t.vectors)
+    return R.hybrid(t.benchmark, t.index, t.vectors)
 
 
 @query(f"with {O.BM25} select item_id, doc_id, {O.half_up('(score - min(score) over w) / (case when max(score) over w > min(score) over w then max(score) over w - min(score) over w else 1 end)')} as normalized, {O.half_up('case when max(score) over w <= 0 then 0 else score / max(score) over w end')} as relative from lex where rank <= 10 window w as (partition by item_id)")
 def normalize_scores(t):
     w = Window.partitionBy("item_id")
     span = F.max("score").over(w) - F.min("score").over(w)
-    rows = R.bm25(t.benchmark, t.documents, 10)
+    rows = t.index.bm25(t.benchmark, 10)
     return rows.select("item_id", "doc_id", T.round_half_up((F.col("score") - F.min("score").over(w)) / F.when(span > 0, span).otherwise(1.0)).alias("normalized"), T.round_half_up(F.when(F.max("score").over(w) <= 0, 0.0).otherwise(F.col("score") / F.max("score").over(w))).alias("relative"))
 
 
@@ -222,7 +233,7 @@ _TOP = f"with {O.BM25}, top as (select item_id, doc_id, d.* exclude (doc_id), {O
 
 
 def _top(t):
-    return R.bm25(t.benchmark, t.documents, R.POOL).select("item_id", "doc_id").join(t.dated, "doc_id")
+    return t.index.bm25(t.benchmark, R.POOL).select("item_id", "doc_id").join(t.dated, "doc_id")
 
 
 @query(_TOP + "host in ('src1.example.org', 'src2.example.org')")
@@ -257,8 +268,8 @@ def safe_search(t):
 
 @query(f"select d.doc_id, b.item_id from documents d join benchmark b on contains({O.fold('d.text')}, {O.fold('b.text')})")
 def exact_phrase(t):
-    items = t.benchmark.select("item_id", T.fold(F.col("text")).alias("p"))
-    return t.documents.select("doc_id", T.fold(F.col("text")).alias("f")).join(R.small(items), F.expr("contains(f, p)")).select("doc_id", "item_id")
+    folded = T.fold(F.col("text")).alias("text")
+    return R.containing(t.documents.select("doc_id", folded), t.benchmark.select("item_id", folded))
 
 
 # Judgement.
@@ -301,12 +312,12 @@ def domain_cap(t):
 
 @query(f"with {O.PAGE} select item_id, position::int as position, doc_id, host, composite as score, route, channels from pg where position <= 10")
 def search_pipeline(t):
-    return P.search(t.benchmark, t.hosted, t.vectors)
+    return P.search(t.benchmark, t.hosted, t.vectors, index=t.index)
 
 
-_VERDICT = f"""with {O.PAGE}, ev as (select item_id, count(*) n, count(distinct host) domains, max(composite) top, max(cov) cov from pg where route = 'include' group by 1),
-v as (select item_id, coalesce(n, 0) n, coalesce(domains, 0) domains, top, case when coalesce(n, 0) = 0 then 0e0 else {O.half_up('0.2e0 + 0.75e0 * cov')} end sufficient from benchmark left join ev using (item_id))
-select item_id, n, domains, sufficient, case when n = 0 then 0e0 else {O.half_up(O.clamp('0.7e0 * top + 0.3e0 * least(1e0, n / 4e0)'))} end as evidence_score,
+_VERDICT = f"""with {O.PAGE}, ev as (select item_id, count(*) n, count(distinct host) domains, max(composite) top, max(cov) filter (where p <= 8) cov from (select *, row_number() over (partition by item_id order by composite desc, doc_id) p from pg where route = 'include') group by 1),
+v as (select item_id, coalesce(n, 0) n, coalesce(domains, 0) domains, top, cov, case when coalesce(n, 0) = 0 then 0e0 else {O.half_up('0.2e0 + 0.75e0 * cov')} end sufficient from benchmark left join ev using (item_id))
+select item_id, n, domains, sufficient, case when n = 0 then 0e0 else {O.half_up('0.1e0 + 0.3e0 * (1 - cov)')} end as conflicting, sufficient < 0.8e0 as hedge, case when n = 0 then 0e0 else {O.half_up(O.clamp('0.7e0 * top + 0.3e0 * least(1e0, n / 4e0)'))} end as evidence_score,
 case when n = 0 then 'no_evidence' when sufficient < 0.85e0 and n < 2 then 'insufficient_evidence' when sufficient < 0.85e0 and domains < 2 then 'single_source' when top < 0.4e0 then 'weak_match' when sufficient < 0.65e0 then 'evidence_does_not_support_answer' end as reason from v"""
 
 
@@ -326,8 +337,8 @@ _GOLD = "gold as (select item_id, doc_id from benchmark b join documents d on co
 
 @query(f"with {O.BM25}, {_GOLD}, best as (select item_id, min(rank) r from gold join lex using (item_id, doc_id) group by 1) select count(distinct g.item_id) as items, count(distinct g.item_id) filter (where r <= 1) as at_1, count(distinct g.item_id) filter (where r <= 3) as at_3, count(distinct g.item_id) filter (where r <= 5) as at_5 from gold g left join best using (item_id)")
 def recall_at_k(t):
-    gold = t.documents.select("doc_id", F.col("text").alias("f")).join(R.small(t.benchmark), F.expr("contains(f, text)")).select("item_id", "doc_id")
-    best = gold.join(R.bm25(t.benchmark, t.documents, 5), ["item_id", "doc_id"]).groupBy("item_id").agg(F.min("rank").alias("r"))
+    gold = R.containing(t.documents, t.benchmark)
+    best = gold.join(t.index.bm25(t.benchmark, 5), ["item_id", "doc_id"]).groupBy("item_id").agg(F.min("rank").alias("r"))
     rows = gold.select("item_id").distinct().join(best, "item_id", "left")
     return rows.agg(F.count(F.lit(1)).alias("items"), *(F.count_if(F.col("r") <= k).alias(f"at_{k}") for k in (1, 3, 5)))
 
@@ -383,22 +394,36 @@ def html_extract(t):
     return html.extract(t.pages).drop("links")
 
 
-_ROBOTS = "User-agent: *\nDisallow: /en/1\nDisallow: /de/\nAllow: /de/2\nCrawl-delay: 2\nDisallow: /*.html$\nDisallow:\nSitemap: https://example.com/map.xml\n\nUser-agent: otherbot\nDisallow: /"
-_RULES = "(values (1, '/en/1', false, '^/en/1'), (2, '/de/', false, '^/de/'), (3, '/de/2', true, '^/de/2'), (5, '/*.html$', false, '^/.*\\.html$')) r(n, pattern, allow, regex)"
+#: Three robots files; a host's is chosen by the length of its name. Two name the agent, one of them in a group of two.
+_ROBOTS = (
+    "User-agent: *\nDisallow: /en/1\nDisallow: /de/\nAllow: /de/2\nCrawl-delay: 2\nDisallow: /*.html$\nDisallow:\nSitemap: https://example.com/map.xml\n\nUser-agent: otherbot\nDisallow: /",
+    "# all\nUser-agent: *\nDisallow: /\nSitemap: https://example.com/any.xml\nUser-agent: QUARRYBOT\nUser-agent: thirdbot # two\nDisallow: /*?utm_source=feed\nDisallow: /fr/\nAllow: /fr/1*5\nCrawl-delay: 0,5\nSitemap: https://example.com/own.xml\nUser-agent: otherbot\nSitemap: https://example.com/other.xml",
+    "Disallow: /lost\nUser-agent: quarry\nAllow: /es/\nDisallow: /*/2\nCrawl-delay: 9\nCrawl-delay: 1\nUser-agent: bot\nDisallow: /en/3\nCrawl-delay: 4\nCrawl-delay: soon\nSitemap: nowhere",
+)
+_RULES = """(values (0, 1, '/en/1', false, '^/en/1'), (0, 2, '/de/', false, '^/de/'), (0, 3, '/de/2', true, '^/de/2'), (0, 5, '/*.html$', false, '^/.*\\.html$'),
+ (1, 1, '/*?utm_source=feed', false, '^/.*\\?utm_source=feed'), (1, 2, '/fr/', false, '^/fr/'), (1, 3, '/fr/1*5', true, '^/fr/1.*5'),
+ (2, 1, '/es/', true, '^/es/'), (2, 2, '/*/2', false, '^/.*/2'), (2, 3, '/en/3', false, '^/en/3')) r(kind, n, pattern, allow, regex)"""
+_TARGET = f"(case when {_PATH} = '' then '/' else {_PATH} end) || regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1)"
 
 
 def _robots(t):
-    return t.pages.select(U.host(F.col("url")).alias("host")).distinct().withColumn("body", F.lit(_ROBOTS))
+    hosts = t.pages.select(U.host(F.col("url")).alias("host")).distinct()
+    return hosts.withColumn("body", F.element_at(F.array(*map(F.lit, _ROBOTS)), F.length("host") % len(_ROBOTS) + 1))
 
 
-@query(f"with u as (select distinct {_PAGE_HOST} host, case when {_PATH} = '' then '/' else {_PATH} end path from pages), h as (select host, path, arg_max(allow, length(pattern) * 100 - n) allow from u join {_RULES} on regexp_matches(path, regex) group by 1, 2) select u.host, u.path, coalesce(allow, true) as allow from u left join h using (host, path)")
+@query(f"with u as (select distinct {_PAGE_HOST} host, {_TARGET} path from pages), h as (select host, path, arg_max(allow, length(pattern) * 100 - n) allow from u join {_RULES} on kind = length(host) % 3 and regexp_matches(path, regex) group by 1, 2) select u.host, u.path, coalesce(allow, true) as allow from u left join h using (host, path)")
 def robots_match(t):
-    return robots.allowed(t.pages.select(U.host(F.col("url")).alias("host"), U.path(F.col("url")).alias("path")).distinct(), _robots(t), "quarrybot")
+    return robots.allowed(t.pages.select(U.host(F.col("url")).alias("host"), U.target(F.col("url")).alias("path")).distinct(), _robots(t), "QuarryBot/2.0 (+x)")
 
 
-@query(f"select distinct {_PAGE_HOST} as host, 2000::bigint as crawl_delay_ms, 'https://example.com/map.xml' as sitemap from pages")
+@query(f"select distinct {_PAGE_HOST} as host, (case length({_PAGE_HOST}) % 3 when 0 then 2000 when 1 then 500 else 4000 end)::bigint as crawl_delay_ms from pages")
 def robots_delays(t):
-    return robots.crawl_delays(_robots(t), "quarrybot").join(robots.sitemaps(_robots(t), "quarrybot"), "host")
+    return robots.crawl_delays(_robots(t), "quarrybot/1.0")
+
+
+@query(f"with h as (select distinct {_PAGE_HOST} host from pages) select host, unnest(case length(host) % 3 when 0 then ['https://example.com/map.xml'] when 1 then ['https://example.com/any.xml'] else [] end) as sitemap from h")
+def robots_sitemaps(t):
+    return robots.sitemaps(_robots(t), "quarrybot/1.0")
 
 
 @query("select url, unnest([url || '/a', url || '/b']) as loc from pages")
@@ -414,9 +439,9 @@ def alias_resolve(t):
     return S.resolve_aliases(t.aliases.select(F.col("from_url").alias("url")), t.aliases)
 
 
-@query("with a as (select 'p' || page_id f, 'p' || (case when page_id > 1 then page_id // 2 else 1 - page_id end) t from pages) select f as from_url, t as to_url from a where t in (select 'p' || doc_id from documents where doc_id % 2 = 0)")
+@query("with a as (select 'p' || page_id f, 'p' || (case when page_id > 1 then page_id // 2 else 1 - page_id end) t from pages) select f as from_url, t as to_url from a where t in (select 'p' || doc_id from labels)")
 def alias_prune(t):
-    return S.prune_aliases(t.aliases, t.documents.where("doc_id % 2 = 0").select(F.concat(F.lit("p"), "doc_id").alias("url"))).select("from_url", "to_url")
+    return S.prune_aliases(t.aliases, t.labels.select(F.concat(F.lit("p"), "doc_id").alias("url"))).select("from_url", "to_url")
 
 
 @query("with c as (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) r from orders where o_orderstatus = 'O'), l as (select o_custkey c_custkey, o_totalprice c_acctbal from c where r = 1) select c_custkey, coalesce(l.c_acctbal, c.c_acctbal) as c_acctbal from customer c left join l using (c_custkey) union select c_custkey, c_acctbal from l where c_custkey not in (select c_custkey from customer)")
@@ -438,17 +463,17 @@ def chunks_missing_vector(t):
     return t.documents.select("doc_id").join(t.vectors, "doc_id", "left_anti")
 
 
-@query("select page_id, url from pages where page_id not in (select doc_id from documents where doc_id % 2 = 0)")
+@query("select page_id, url from pages where page_id not in (select doc_id from labels)")
 def frontier_antijoin(t):
-    return t.pages.select("page_id", "url").join(t.documents.where("doc_id % 2 = 0").select(F.col("doc_id").alias("page_id")), "page_id", "left_anti")
+    return t.pages.select("page_id", "url").join(t.labels.select(F.col("doc_id").alias("page_id")), "page_id", "left_anti")
 
 
-_QUEUE = "q as (select 'https://h' || user_id || '/' || event_id url, (event_id % 5)::int depth, value % 1e0 priority, (['pending', 'active', 'done', 'error'])[event_id % 4 + 1] status, ts, event_id from events where event_id % 3 = 0)"
+_QUEUE = "q as (select 'https://h' || user_id || '/' || event_id url, (event_id % 5)::int depth, value % 1e0 priority, (['pending', 'active', 'done', 'error'])[event_id % 4 + 1] status, ts, event_id from events where event_type <> 'view')"
 
 
-@query(f"with {_QUEUE}, f as (select url, min(depth) d, max(priority) p from (select 'https://h' || user_id || '/' || event_id url, 1 depth, 0.5e0 priority from events where event_id % 2 = 0) group by 1) select coalesce(q.url, f.url) as url, least(depth, d)::int as depth, greatest(priority, p) as priority, case when q.url is null then 'pending' when f.url is not null and status in ('done', 'error') then 'pending' else status end as status from q full join f on q.url = f.url")
+@query(f"with {_QUEUE}, f as (select url, min(depth) d, max(priority) p from (select 'https://h' || user_id || '/' || event_id url, 1 depth, 0.5e0 priority from events where event_type <> 'click') group by 1) select coalesce(q.url, f.url) as url, least(depth, d)::int as depth, greatest(priority, p) as priority, case when q.url is null then 'pending' when f.url is not null and status in ('done', 'error') then 'pending' else status end as status from q full join f on q.url = f.url")
 def queue_enqueue(t):
-    found = t.events.where("event_id % 2 = 0").select(F.concat(F.lit("https://h"), "user_id", F.lit("/"), "event_id").alias("url"), F.lit(1).alias("depth"), F.lit(0.5).alias("priority"))
+    found = t.events.where("event_type <> 'click'").select(F.concat(F.lit("https://h"), "user_id", F.lit("/"), "event_id").alias("url"), F.lit(1).alias("depth"), F.lit(0.5).alias("priority"))
     return S.enqueue(t.queue.select("url", "depth", "priority", "status"), found)
 
 
@@ -483,15 +508,21 @@ def status_histogram(t):
     return t.events.groupBy(F.col("event_type").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("high"), F.countDistinct("user_id").alias("users"))
 
 
-_CHUNKS = f"""s as (select doc_id, {SENTENCES} xs from documents), r as (with recursive w as (select doc_id, xs, 0::bigint i, []::int[] done, 0 n, false open from s union all
- select doc_id, xs, i + 1, case when (case when over then x else n + x end) >= 220 then list_append(case when over then list_append(done, n) else done end, case when over then x else n + x end) else (case when over then list_append(done, n) else done end) end,
- case when (case when over then x else n + x end) >= 220 then 0 else (case when over then x else n + x end) end, not ((case when over then x else n + x end) >= 220)
- from (select *, ceil(length(xs[i + 1]) / 4e0)::int x, open and n + ceil(length(xs[i + 1]) / 4e0)::int > 400 as over from w where i < len(xs))) select doc_id, case when open then list_append(done, n) else done end ns from w where i = len(xs)),
+_OVER = "(case when over then x else n + x end)"
+_CHUNKS = f"""s as (select doc_id, {SENTENCES} xs from documents), r as (with recursive w as (select doc_id, xs, 0::bigint i, []::int[] done, []::bigint[] ends, 0 n, false open from s union all
+ select doc_id, xs, i + 1, case when {_OVER} >= 220 then list_append(case when over then list_append(done, n) else done end, {_OVER}) else (case when over then list_append(done, n) else done end) end,
+ case when {_OVER} >= 220 then list_append(case when over then list_append(ends, i) else ends end, i + 1) else (case when over then list_append(ends, i) else ends end) end,
+ case when {_OVER} >= 220 then 0 else {_OVER} end, not ({_OVER} >= 220)
+ from (select *, ceil(length(xs[i + 1]) / 4e0)::int x, open and n + ceil(length(xs[i + 1]) / 4e0)::int > 400 as over from w where i < len(xs))) select doc_id, xs, case when open then list_append(done, n) else done end ns, case when open then list_append(ends, i) else ends end es from w where i = len(xs)),
 c as (select doc_id, unnest(ns)::int tokens, generate_subscripts(ns, 1) - 1 ord from r)"""
+_PLAIN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '(?m)^\s*[-*+]\s+', '', 'g'), '[*_`>#]', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]{{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+_TEXTS = f"""{_CHUNKS}, ct as (select doc_id, unnest(list_transform(range(1, len(es) + 1), lambda i: {_PLAIN.format("array_to_string(xs[coalesce(es[i - 1], 0) + 1 : es[i]], ' ')")})) as chunk, generate_subscripts(es, 1) place from r),
+cc as (select doc_id, chunk, row_number() over (partition by doc_id order by place) - 1 ord from ct where chunk <> '')"""
 
 
 def _chunks(t):
-    chunk = t.documents.select("doc_id", F.posexplode(S.pack_sentences(T.sentences(F.col("text")))).alias("ord", "xs"))
+    packed = S.pack_sentences(t.documents.select("doc_id", T.sentences(F.col("text")).alias("s")), "s", "chunks")
+    chunk = packed.select("doc_id", F.posexplode("chunks").alias("ord", "xs"))
     tokens = F.aggregate(F.transform("xs", T.estimate_tokens), F.lit(0), lambda a, b: a + b)
     return chunk.select("doc_id", F.col("ord").cast("long").alias("ord"), tokens.alias("tokens"))
 
@@ -528,18 +559,18 @@ _TITLE = "left(text, 60) || ' | ' || source"
 
 
 def _titled(t):
-    return t.documents.select("doc_id", "text", F.concat(F.substring("text", 1, 60), F.lit(" | "), "source").alias("title"))
+    return t.documents.select("doc_id", "text", "source", F.concat(F.substring("text", 1, 60), F.lit(" | "), "source").alias("title"))
 
 
 @query(f"select d.doc_id, array_to_string({O.follow_ups('d.text', '[' + _TITLE + ', text, source]')}, '|') as asked from documents d")
 def follow_up_queries(t):
-    return _titled(t).join(t.documents.select("doc_id", "source"), "doc_id").select("doc_id", F.concat_ws("|", P.follow_ups(F.col("text"), F.array("title", "text", "source"))).alias("asked"))
+    return _titled(t).select("doc_id", F.concat_ws("|", P.follow_ups(F.col("text"), F.array("title", "text", "source"))).alias("asked"))
 
 
-@query(O.second_round(_TITLE, 20, 30))
+@query(O.second_round(_TITLE, R.POOL, R.POOL))
 def second_round(t):
     docs = _titled(t)
-    return P.second_round(t.benchmark, docs, R.bm25(t.benchmark, docs, 20), 30)
+    return P.second_round(t.benchmark, docs, t.index.bm25(t.benchmark, R.POOL), index=t.index)
 
 
 _CLAIM = f"""{O.PAGE}, ev as (select item_id, position, doc_id, text, list_distinct({O.content_words("(select b.text from benchmark b where b.item_id = pg.item_id)")}) q from pg join documents using (doc_id) where route = 'include' and position <= 5),
@@ -566,7 +597,7 @@ def shape_results(t):
 
 @query(f"with {O.PAGE}, {_GOLD}, ret as (select distinct item_id, doc_id, host from pg where position <= 10), gh as (select item_id, doc_id, {O.HOST} host from gold join documents using (doc_id)), f as (select b.item_id, case when b.item_id in (select gh.item_id from gh join ret using (item_id, doc_id)) then 'returned' when b.item_id in (select gh.item_id from gh join ret using (item_id, host)) then 'sibling' when b.item_id in (select item_id from gh) then 'elsewhere' else 'absent' end bucket from benchmark b) select bucket, count(*) as n from f group by 1")
 def fact_buckets(t):
-    gold = t.hosted.select("doc_id", "host", F.col("text").alias("f")).join(R.small(t.benchmark), F.expr("contains(f, text)")).select("item_id", "doc_id", "host")
+    gold = R.containing(t.documents, t.benchmark).join(t.hosted.select("doc_id", "host"), "doc_id")
     page = P.page(t.judged).select("item_id", F.col("doc_id").alias("got"), F.col("host").alias("got_host"))
     near = gold.join(page, "item_id", "left").groupBy("item_id").agg(F.max(F.when(F.col("doc_id") == F.col("got"), 3).when(F.col("host") == F.col("got_host"), 2).otherwise(1)).alias("x"))
     bucket = F.when(F.col("x") == 3, "returned").when(F.col("x") == 2, "sibling").when(F.col("x") == 1, "elsewhere").otherwise("absent")
@@ -578,10 +609,18 @@ def fact_buckets(t):
 _DIGIT = "substr('0123456789abcdefghijklmnopqrstuvwxyz', (ord // {} % 36 + 1)::int, 1)"
 _BASE36 = f"ltrim({' || '.join(_DIGIT.format(36**k) for k in (4, 3, 2, 1))}, '0') || {_DIGIT.format(1)}"
 
-@query(f"with {_CHUNKS} select lower(substr(sha1(doc_id::varchar), 1, 10)) || '-' || {_BASE36} as id, doc_id::varchar as url, ord, source as heading, tokens from c join documents using (doc_id)")
+_GUESS = "(case when pt = 0 and en = 0 then 'und' when pt >= en * 1.2e0 then 'pt' when en >= pt * 1.2e0 then 'en' else 'und' end)"
+_HEAD_LANG = f"gl as (select doc_id, string_split_regex({O.fold("source || ' ' || left(regexp_replace(text, '^[ \n\t\r]+', ''), 400)")}, '\\s+') ws from documents), gc as (select doc_id, len(list_filter(ws, lambda w: w in {_MARKS['pt']})) pt, len(list_filter(ws, lambda w: w in {_MARKS['en']})) en from gl)"
+_ID = f"lower(substr(sha1(doc_id::varchar), 1, 10)) || '-' || {_BASE36}"
+
+
+@query(f"with {_TEXTS}, {_HEAD_LANG} select {_ID} as id, doc_id::varchar as url, ord, source as heading, chunk as text, ceil(length(chunk) / 4e0)::int as tokens, {_GUESS} as lang, substr(sha256(chunk), 1, 32) as content_hash from cc join documents using (doc_id) join gc using (doc_id)")
 def chunk_documents(t):
-    docs = t.documents.select(F.col("doc_id").cast("string").alias("url"), F.col("source").alias("title"), F.col("text").alias("markdown"))
-    return C.chunk_documents(docs).select("id", "url", "ord", F.concat_ws(" > ", "heading_path").alias("heading"), "tokens")
+    return _document_chunks(t).select("id", "url", "ord", F.concat_ws(" > ", "heading_path").alias("heading"), "text", "tokens", "lang", "content_hash")
+
+
+def _document_chunks(t):
+    return C.chunk_documents(t.documents.select(F.col("doc_id").cast("string").alias("url"), F.col("source").alias("title"), F.col("text").alias("markdown")))
 
 
 @query(rf"select page_id, unnest(list_distinct([regexp_replace(url, '#.*$', ''), 'https://example.org/' || page_id])) as link from pages where not regexp_matches(url, '[)\s]') and regexp_matches(url, '^https?://')")
@@ -609,3 +648,6 @@ def auth_then_limit(t):
 @query("select event_id, row_number() over (partition by user_id order by ts, event_id) > 5 as skipped from events")
 def host_page_cap(t):
     return S.host_cap(t.events.select(F.col("user_id").alias("host"), "event_id", "ts"), [F.col("ts"), F.col("event_id")], 5).select("event_id", "skipped")
+
+
+from . import more as _more  # noqa: E402,F401  registers the rest

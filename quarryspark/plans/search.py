@@ -25,38 +25,46 @@ def passes(docs: DataFrame, include: list[str] = (), exclude: list[str] = (), la
         inside = (p >= (since if since is not None else p)) & (p <= (until if until is not None else p))
         docs = docs.where(inside if strict_dates else (p.isNull() | inside))
     if safe:
-        docs = docs.where(~(F.coalesce(F.col("text"), F.lit("")).rlike(J.UNSAFE)))
+        for c in ("text", "title") if "title" in docs.columns else ("text",):
+            docs = docs.where(~(F.coalesce(F.col(c), F.lit("")).rlike(J.UNSAFE)))
     return docs
 
 
-def candidates(queries: DataFrame, docs: DataFrame, vectors: DataFrame, pool: int = R.POOL) -> DataFrame:
-    """Fused ranks without near copies of better ones."""
+def candidates(queries: DataFrame, docs, vectors: DataFrame, pool: int = R.POOL) -> DataFrame:
+    """Fused ranks without near copies of better ones. docs: an Index, or documents that are read through."""
     fused = R.hybrid(queries, docs, vectors, pool)
-    hashes = R.simhash_bits(docs.join(fused.select("doc_id").distinct(), "doc_id", "left_semi"))
+    wanted = fused.select("doc_id").distinct()
+    hashes = R.simhash_bits(docs.join(wanted, "doc_id", "left_semi")) if isinstance(docs, DataFrame) else docs.hashes()
     kept = R.collapse_near(fused, hashes).select("item_id", "doc_id")
     return fused.join(kept, ["item_id", "doc_id"], "left_semi")
 
 
-def judged(queries: DataFrame, docs: DataFrame, cands: DataFrame, shortlist: int = 24) -> DataFrame:
+def judged(queries: DataFrame, docs: DataFrame, cands: DataFrame, policy: J.Policy = J.UNCALIBRATED, shortlist: int = 24) -> DataFrame:
     """The shortlist with signals, composite, keep and route."""
     rows = cands.where(F.col("rank") <= shortlist)
-    return J.route(J.rerank(J.signals(rows, queries, docs)))
+    return J.route(J.rerank(J.signals(rows, queries, docs), policy=policy), policy)
 
 
-def page(rows: DataFrame, limit: int = 10) -> DataFrame:
+def page(rows: DataFrame, limit: int = 10, policy: J.Policy = J.UNCALIBRATED) -> DataFrame:
     """What is returned: kept, not excluded, capped by domain, included before conflicting, best first."""
     first = F.when(F.col("route") == "include", 0).otherwise(1)
     order = [first, F.desc("composite"), F.col("doc_id")]
-    rows = J.domain_cap(rows.where("keep and route <> 'exclude'"), order)
+    rows = J.domain_cap(rows.where("keep and route <> 'exclude'"), order, policy.max_per_domain, policy.min_domains)
     rows = rows.withColumn("position", F.row_number().over(Window.partitionBy("item_id").orderBy(*order)))
     return rows.where(F.col("position") <= limit)
 
 
-def search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, limit: int = 10) -> DataFrame:
-    """item_id, position, doc_id, host, score, route, channels for a batch of queries."""
-    return page(judged(queries, docs, candidates(queries, docs, vectors)), limit).select("item_id", "position", "doc_id", "host", F.col("composite").alias("score"), "route", "channels")
+def search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, limit: int = 10, index=None) -> DataFrame:
+    """item_id, position, doc_id, host, score, route, channels for a batch of queries. index: an Index of docs."""
+    return page(judged(queries, docs, candidates(queries, docs if index is None else index, vectors)), limit).select("item_id", "position", "doc_id", "host", F.col("composite").alias("score"), "route", "channels")
 
 
+def outcomes(queries: DataFrame, page_rows: DataFrame) -> DataFrame:
+    """(item_id, n_results, abstained, reason): queries for which nothing was found abstain with no_candidates, whether an answer was asked for or not."""
+    n = page_rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = queries.select("item_id").join(n, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_results"))
+    return rows.withColumns({"abstained": F.col("n_results") == 0, "reason": F.when(F.col("n_results") == 0, "no_candidates")})
+
 
 # How a title loses its site's name, and how long a follow-up may be.
 SITE, SHORTEST, LONGEST, TITLES, FOLLOW_UPS = r"\s*[|—–-]\s*[^|—–-]{0,40}$", 8, 120, 6, 2
@@ -69,13 +77,16 @@ def follow_ups(query, titles, most: int = FOLLOW_UPS):
     return F.array_distinct(F.slice(fit, 1, most))
 
 
-def second_round(queries: DataFrame, docs: DataFrame, first: DataFrame, pool: int = R.POOL) -> DataFrame:
-    """(item_id, doc_id, round, rank): the first round's rows, then what its best titles find besides. docs: doc_id, text, title; first: item_id, doc_id, rank."""
+def second_round(queries: DataFrame, docs: DataFrame, first: DataFrame, pool: int = R.POOL, index=None, dense=None) -> DataFrame:
+    """(item_id, doc_id, round, rank): the first round's rows, then what its best titles find besides. docs: doc_id, text, title; first: item_id, doc_id, rank. index: an Index of docs; dense: ranked lists for queries (item_id, text), where there is an embedder."""
     heads = first.where(F.col("rank") <= TITLES).join(docs.select("doc_id", "title"), "doc_id")
     titles = heads.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("rank", "title"))).alias("xs"))  # TITLES rows at most
     asked = queries.join(titles, "item_id").select("item_id", F.posexplode(follow_ups(F.col("text"), F.transform("xs", lambda x: x["title"]))).alias("i", "text"))
-    found = R.bm25(asked.select((F.col("item_id") * FOLLOW_UPS + F.col("i")).alias("item_id"), "text"), docs, pool)
-    second = R.fuse([("lexical", R.LEXICAL_WEIGHT, found.withColumn("item_id", F.floor(F.col("item_id") / FOLLOW_UPS).cast("long")))], pool)
+    asked = asked.select((F.col("item_id") * FOLLOW_UPS + F.col("i")).alias("item_id"), "text")
+    found = [("lexical", R.LEXICAL_WEIGHT, R.bm25(asked, docs, pool) if index is None else index.bm25(asked, pool))]
+    if dense is not None:
+        found.append(("dense", R.DENSE_WEIGHT, dense(asked)))
+    second = R.fuse([(channel, weight, ranks.withColumn("item_id", F.floor(F.col("item_id") / FOLLOW_UPS).cast("long"))) for channel, weight, ranks in found], pool)
     new = second.join(first.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_anti")
     both = first.select("item_id", "doc_id", F.lit(1).alias("round"), "rank").unionByName(new.select("item_id", "doc_id", F.lit(2).alias("round"), "rank"))
     place = F.row_number().over(Window.partitionBy("item_id").orderBy("round", "rank", "doc_id"))

@@ -48,7 +48,7 @@ def test_dates(spark, said, want):
 
 
 def test_markdown(spark):
-    assert one(spark, M.strip_markdown, "# Head\n\n- see [this](http://x/y) and `code`\n```\nhidden\n```") == "Head\n\nsee this and code"
+    assert one(spark, M.strip_markdown, "# Head\n\n- see [this](http://x/y) and `code`\n```\nhidden\n```\n| a | b") == "Head see this and a | b"
     assert one(spark, M.cleanup_markdown, "a ![p](data:image/png;base64,xx) [](http://x)\n\n\n\nb") == "a  \n\nb"
     assert one(spark, lambda s: M.with_title(s, F.lit("T")), "body") == "# T\n\nbody" and one(spark, lambda s: M.with_title(s, F.lit("T")), "# X\nbody") == "# X\nbody"
     assert one(spark, M.internal_links, "[a](http://x/1#f) [b](http://x/1) [c](/rel)") == ["http://x/1"]

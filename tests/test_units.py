@@ -21,6 +21,27 @@ def test_stem(spark, word, stem):
     assert one(spark, T.stem, word) == stem
 
 
+def test_fold_is_decomposition_without_marks(spark):
+    """Every letter of the basic plane that decomposes to one letter and marks, composed and decomposed."""
+    import unicodedata
+
+    marks = set(map(chr, range(0x300, 0x370)))
+    plain = lambda s: "".join(c for c in unicodedata.normalize("NFD", s) if c not in marks).lower()
+    letters = [c for c in map(chr, (*range(0xC0, 0xAC00), *range(0xF900, 0xFFFE))) if len(plain(c)) == 1 and c.isalpha() and c not in "İẞ" and c.lower() == c]
+    rows = spark.createDataFrame([(c, unicodedata.normalize("NFD", c)) for c in letters], "c string, d string").select(T.fold(F.col("c")).alias("c"), T.fold(F.col("d")).alias("d")).collect()
+    assert [r["c"] for r in rows] == [plain(c) for c in letters] and [r["d"] for r in rows] == [plain(c) for c in letters]
+    assert one(spark, T.fold, "Tiếng Ế ơ ǎ é") == "tieng e o a e"
+
+
+def test_small_text_functions(spark):
+    assert one(spark, T.strip_fence, "```json\n{}\n```") == "{}" and one(spark, T.strip_fence, " x ``` ") == "x ```"
+    assert one(spark, T.first_json, 'so: {"a": 1} ok') == '{"a": 1}' and one(spark, T.first_json, "none") is None
+    assert one(spark, lambda s: T.first_non_empty(s, F.lit("\t"), F.lit("x"), F.lit("y")), None) == "x"
+    assert one(spark, T.content_terms, "The Résumé of that resume") == ["resume"]
+    assert one(spark, lambda s: T.query_variants(s, F.array(F.lit("ab"), F.lit(" Buffer  pool "), F.lit("other way"), F.lit("third"), F.lit("fourth")), 3), "buffer pool") == ["buffer pool", "other way", "third"]
+    assert U.absolute("../b?c", "https://x.org/a/d") == "https://x.org/b?c" and U.absolute("http://[", "https://x.org") == "http://["
+
+
 def test_text(spark):
     assert one(spark, T.fold, "Saúde") == "saude"
     assert len(one(spark, T.sentences, "It cost 3.5 units. Dr. Lee agreed! Did it end?")) == 3
@@ -57,6 +78,54 @@ def test_route_order(spark):
     assert all(r["route"] == r["want"] for r in J.route(rows).collect())
 
 
+def test_rate_limit_across_segments(spark):
+    """Windows that cross segments of time, busy and lone keys, equal times, a null key; against a fold in plain Python."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    rows = [(k, int(t), i) for i, (k, t) in enumerate([(int(k), int(t)) for k in range(5) for t in np.sort(r.integers(-5000, 40_000, [1, 40, 900, 3, 300][k]))] + [(None, 5), (None, 5), (None, 1200)])]
+    want, state = {}, {}
+    for k, t, i in sorted(rows, key=lambda x: (str(x[0]), x[1], x[2])):
+        start, used = state.get(k, (None, 0))
+        start, used = (t, 1) if start is None or t - start >= 1000 else (start, used + 1)
+        state[k], want[i] = (start, used), (k, used <= 3, used)
+    frame = spark.createDataFrame(rows, "key bigint, t_ms bigint, id bigint").repartition(3)
+    for segment in (1, 2, 16):
+        assert {x["id"]: (x["key"], x["allowed"], x["used"]) for x in S.rate_limit(frame, 3, 1000, segment).collect()} == want
+
+
+def test_near_pairs_by_every_scheme(spark, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    base = int(r.integers(0, 2**63))
+    values = {base} | {base ^ int(sum(1 << int(b) for b in r.choice(64, 1 + i % 7, replace=False))) for i in range(60)}
+    rows = list(enumerate(sorted(values)))
+    want = {(i, j) for i, a in rows for j, b in rows if i < j and (a ^ b).bit_count() <= 5}
+    frame = spark.createDataFrame([(i, f"{v:016x}") for i, v in rows], "doc_id bigint, simhash string")
+    for b, t in R.SCHEMES:
+        monkeypatch.setattr(R, "scheme", lambda n, most, b=b, t=t: (b, t))
+        assert {(x["a"], x["b"]) for x in R.near_pairs(frame).collect()} == want
+    assert R.SCHEMES[0] == (6, 1)
+
+
+def test_texts_containing_phrases(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "xone two three four fivex"), (3, "two  three"), (4, None), (5, "one two three four five; one two three four five")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "one two three four five"), (2, "three"), (3, ""), (4, None), (5, "o thre"), (6, "two three four five six seven")], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in R.containing(docs, items).collect()}
+    assert got == {(1, 1), (2, 1), (5, 1), (1, 2), (2, 2), (3, 2), (5, 2), (1, 3), (2, 3), (3, 3), (5, 3), (1, 5), (2, 5), (5, 5)}
+
+
+def test_dense_of_ragged_and_empty_vectors(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0]), (4, None), (5, [1.0, 1.0, 5.0]), (6, [1.0, 0.0])], "doc_id bigint, vector array<double>").repartition(2)
+    asked = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 3.0])], "item_id bigint, vector array<double>")
+    for per_pass in (100, 1):
+        got = {r["item_id"]: [] for r in asked.collect()}
+        for r in R.dense(asked, vectors, 4, per_pass).orderBy("item_id", "rank").collect():
+            got[r["item_id"]].append((r["doc_id"], r["score"]))
+        assert got[1] == [(1, 1.0), (3, 1.0), (6, 1.0), (5, 0.707107)] and got[2][0] == (5, 0.707107) and all(s == 0 for _, s in got[2][1:])
+
+
 def test_rate_limit_edges(spark):
     rows = spark.createDataFrame([(1, t, i) for i, t in enumerate([0, 1, 2, 3, 59_999, 60_000])], "key bigint, t_ms bigint, id bigint")
     assert [r["allowed"] for r in S.rate_limit(rows, 3, 60_000).orderBy("id").collect()] == [True, True, True, False, False, True]
@@ -72,11 +141,16 @@ def test_robots(spark):
     files = spark.createDataFrame([("h", "User-agent: mine\nDisallow: /private\nAllow: /private/open\nCrawl-delay: 2\n\nUser-agent: *\nDisallow: /\nSitemap: https://h/map.xml")], "host string, body string")
     urls = spark.createDataFrame([("h", "/private/a"), ("h", "/private/open/a"), ("h", "/b"), ("g", "/c")], "host string, path string")
     assert {r["path"]: r["allow"] for r in robots.allowed(urls, files, "mine").collect()} == {"/private/a": False, "/private/open/a": True, "/b": True, "/c": True}
-    assert robots.crawl_delays(files, "mine").first()["crawl_delay_ms"] == 2000
+    assert robots.crawl_delays(files, "mine/3.1").first()["crawl_delay_ms"] == 2000
+    assert robots.sitemaps(files, "mine").first()["sitemap"] == "https://h/map.xml"
     assert not robots.allowed(urls, files, "yours").where("host = 'h' and allow").count()
 
 
 def test_html():
+    page = html.read("<body><main><p>" + "word " * 50 + "</p></main><div class=content>" + "<a href=/x>link</a>" * 100 + "</div><img src=/no.png></body>", "https://x.org/d/")
+    assert page["text"].startswith("word") and "link" not in page["text"] and page["links"][0] == "https://x.org/x" and page["images"] == []
+    page = html.read("<article><h2>Top</h2><ul><li>one <b>bold</b></li><li>two</li></ul><pre>x\n y</pre><p><a href='a'>A</a><a href='b'></a> " + "t " * 150 + "</p><img src='p.png' alt='P'><script>no</script></article>", "https://x.org/")
+    assert page["text"].startswith("## Top\n\n- one **bold**\n- two\n\n```\nx\n y\n```\n\n[A](https://x.org/a) t t") and page["images"] == [{"url": "https://x.org/p.png", "alt": "P"}]
     page = html.read("<html lang=en><head><title>T</title><meta property='article:published_time' content='2024-01-02'></head><body><nav>menu</nav><article><h1>Head</h1><p>" + "word " * 60 + "</p></article><footer>foot</footer></body></html>")
     assert page["title"] == "T" and page["published"] == "2024-01-02" and "menu" not in page["text"] and page["text"].startswith("# Head")
     assert html.read("<div><p>broken").get("text") == "broken" and html.read(None)["text"] == "" and html.read("<![x")["title"] == ""
@@ -110,3 +184,132 @@ def test_streams_equal_batches(spark, sf, tmp_path):
     run.awaitTermination()
     batch = QUERIES["rate_limit"](spark, sf)
     assert spark.table("limited").count() == batch.count() and spark.table("limited").exceptAll(batch.select("key", "id", "allowed", "used")).count() == 0
+
+
+def test_session_leaves_a_running_ones_settings(spark):
+    from quarryspark.session import session, submitted
+
+    assert "spark.master" in submitted()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    again = session()
+    assert again.conf.get("spark.sql.shuffle.partitions") == before and again.sparkContext.master == spark.sparkContext.master
+
+
+def test_settings():
+    from quarryspark import config
+
+    c = config.load({"QUARRY_MAX_RESULTS": "5", "QUARRY_HYBRID": "off"})
+    assert c.max_results == 5 and not c.hybrid and c.crawl_concurrency == 4 and config.engine(c) is None
+    for env in ({"QUARRY_CRAWL_CONCURRENCY": "0"}, {"QUARRY_HYBRID": "maybe"}, {"QUARRY_DECISION_PROVIDER": "x"}):
+        with pytest.raises(ValueError):
+            config.load(env)
+    with pytest.raises(ValueError):
+        config.engine(config.load({"QUARRY_DECISION_PROVIDER": "chat"}))
+    assert config.engine(config.load({"QUARRY_DECISION_KEY": "k", "QUARRY_DECISION_URL": "http://x"})).name == "remote"
+
+
+def test_request_bodies():
+    from quarryspark.api import log_line, parse_body, redacted
+
+    assert parse_body("extract", {"urls": "https://x.org/a"})["urls"] == ["https://x.org/a"] and parse_body("crawl", {"url": "http://x.org"})["mode"] == "page"
+    bad = [("extract", {"urls": []}), ("extract", {"urls": ["ftp://x"]}), ("extract", {}), ("crawl", {"url": "http://x.org", "max_depth": 7}), ("crawl", {"url": "http://x.org", "odd": 1}), ("index", {"urls": ["http://x.org"] * 51}), ("evaluate", {"state": {}, "questions": {}}), ("evaluate", {"questions": {"a": {"type": "noul"}}})]
+    for kind, body in bad:
+        with pytest.raises(RequestError):
+            parse_body(kind, body)
+    assert redacted({"a": 1, "trace": 2}) == {"a": 1} and log_line("debug", "x") is None and '"n": 1' in log_line("warn", "x", n=1)
+
+
+def test_decisions(spark):
+    """Equal states are asked once, failures give defaults that are marked, and the cache answers until it is old."""
+    from quarryspark.operators import decision as D
+
+    class Sour:
+        name, calibrated = "sour", False
+
+        def evaluate(self, state, questions):
+            if "bad" in state:
+                raise OSError("down")
+            return D.Reply({"relevant": D.Answer(noul=0.9)}, 10, 2, 1, 0.5)
+
+    questions = [D.Question("relevant", "noul"), D.Question("shape", "choice", options=("a", "b"))]
+    states = spark.createDataFrame([(1, '"x"'), (2, '"x"'), (3, '"bad"')], "state_id bigint, state string")
+    got = D.decide(states, questions, Sour())
+    rows = {(r["state_id"], r["question"]): r for r in got.collect()}
+    assert rows[1, "relevant"]["noul"] == 0.9 == rows[2, "relevant"]["noul"] and not rows[1, "relevant"]["degraded"] and rows[1, "shape"]["degraded"]
+    assert rows[3, "relevant"]["noul"] == 0.5 and {r["state_id"] for r in D.degraded(got).collect()} == {1, 2, 3}
+    assert got.dropDuplicates(["key", "question"]).agg(F.sum("input_tokens")).first()[0] == 10
+    cache = got.drop("state_id", "cached").dropDuplicates(["key", "question"]).withColumn("asked_ms", F.lit(1000).cast("long"))
+    cache = spark.createDataFrame(cache.collect(), cache.schema)
+    again = D.decide(states, questions[:1], Sour(), cache, now_ms=2000)
+    assert again.count() == 3
+    one_question = [D.Question("relevant", "noul")]
+    kept = D.decide(states, one_question, Sour()).drop("state_id", "cached").dropDuplicates(["key", "question"]).withColumn("asked_ms", F.lit(1000).cast("long"))
+    kept = spark.createDataFrame(kept.collect(), kept.schema)
+    for now, cached in ((2000, True), (10**9, False)):
+        rows = {r["state_id"]: r for r in D.decide(states, one_question, Sour(), kept, now_ms=now).collect()}
+        assert rows[1]["cached"] == cached and not rows[3]["cached"] and rows[1]["noul"] == 0.9
+    assert {r["state_id"]: r["noul"] for r in D.noul(got, "relevant").collect()} == {1: 0.9, 2: 0.9, 3: 0.5}
+
+
+def test_remote_engines():
+    from quarryspark.operators import decision as D
+
+    calls, waits = [], []
+    replies = [(529, {}), (200, {"answers": {"a": {"noul": 3}, "b": {"probabilities": {"y": 3}}, "c": {"probabilities": {"1": 1, "2": 1}}}, "usage": {"input_tokens": 7}})]
+    engine = D.Remote("http://x", "k", cost_per_token=0.1, post=lambda *x: (calls.append(x), replies[len(calls) - 1])[1], wait=waits.append)
+    asked = [D.Question("a", "noul"), D.Question("b", "choice", options=("x", "y")), D.Question("c", "score", options=("l", "m", "h")), D.Question("d", "noul")]
+    got = engine.evaluate('{"q": 1}', asked)
+    assert got.answers["a"].noul == 1 and got.answers["b"].choice == "y" and got.answers["c"].score == 1.5 and "d" not in got.answers
+    assert got.requests == 2 and abs(got.cost_usd - 0.7) < 1e-9 and waits == [0.25] and calls[0][2] == {"Authorization": "Bearer k"}
+    with pytest.raises(RuntimeError):
+        D.Remote("http://x", post=lambda *x: (404, {}), wait=waits.append).evaluate("{}", asked)
+    chat = D.Chat("http://x", post=lambda *x: (200, {"choices": [{"message": {"content": "```json\n{\"a\": 0.2}\n```"}}]}))
+    assert chat.evaluate("{}", asked[:1]).answers["a"].noul == 0.2 and not chat.calibrated
+    assert [D.backoff(i) for i in (1, 2, 5, 9)] == [0.25, 0.5, 4.0, 4.0] and D.proxy_confidence(0.75) == 0.5 and D.pick({}, ["a", "b"]) == {"a": 0.5, "b": 0.5}
+    assert D.flat_state({"query": "no", "x": ["a", {"claim": "no", "y": "b"}]}) == "a\nb" and D.entropy_confidence({"a": 0.5, "b": 0.5}) == 0
+    assert {len(v) for v in D.CATALOG.values()} == {11, 6, 5, 2, 1} and D.single("x?")[0].kind == "noul"
+
+
+def test_crawl(spark):
+    """A site of four pages, one refused, one broken: rounds end, the budget holds, links stay in the folder."""
+    from quarryspark import crawl
+
+    page = lambda links: "<html><body><article><h1>T</h1><p>" + "words that fill a page " * 20 + "".join(f"<a href='{x}'>go there</a> " for x in links) + "</p></article></body></html>"
+    web = spark.createDataFrame(
+        [("https://x.org/d/a", 200, "text/html", page(["https://x.org/d/b", "https://x.org/d/no", "https://x.org/out", "https://y.org/d/z"])), ("https://x.org/d/b", 200, "text/html", page(["https://x.org/d/a", "https://x.org/d/c"])), ("https://x.org/d/c", 500, "text/html", ""), ("https://x.org/d/e", 200, "image/png", "")],
+        "url string, status int, content_type string, html string",
+    )
+    files = spark.createDataFrame([("x.org", "User-agent: *\nDisallow: /d/no")], "host string, body string")
+    maps = spark.createDataFrame([("r", "https://x.org/d/e"), ("r", "https://x.org/other")], "root string, loc string")
+    state, folder = crawl.seeded(crawl.start(spark), "https://x.org/d/a", maps)
+    assert folder is None or folder == "/d/a/"
+    rounds = []
+    end = crawl.drain(state, lambda urls: web.join(urls, "url"), files, "/d/", places=2, on_round=lambda n, rows: rounds.append(n))
+    got = {r["url"]: (r["status"], r["reason"]) for r in end.outcomes.collect()}
+    assert got["https://x.org/d/a"] == ("indexed", None) == got["https://x.org/d/b"] and got["https://x.org/d/no"] == ("skipped", "refused by robots")
+    assert got["https://x.org/d/c"] == ("error", "status 500") and "https://x.org/out" not in got and "https://y.org/d/z" not in got
+    assert {r["url"] for r in end.docs.collect()} == {"https://x.org/d/a", "https://x.org/d/b"} and end.queue.where("status in ('pending', 'active')").count() == 0
+    assert crawl.drain(state, lambda urls: web.join(urls, "url"), budget=1, places=4).outcomes.count() == 1
+
+
+def test_index_is_replaced_without_a_trace(spark):
+    from quarryspark.operators.index import Index
+
+    docs = spark.createDataFrame([(1, "buffer pool"), (2, "buffer"), (3, None)], "doc_id bigint, text string")
+    index = Index.build(docs)
+    asked = spark.createDataFrame([(1, "buffer"), (2, "pool latch"), (3, "")], "item_id bigint, text string")
+    ids = lambda x: {(r["item_id"], r["doc_id"]) for r in x.bm25(asked).collect()}
+    assert ids(index) == {(1, 1), (1, 2), (2, 1)} and index.docs == 3
+    changed = index.replaced(spark.createDataFrame([(1, "latch")], "doc_id bigint, text string"), spark.createDataFrame([(2,)], "doc_id bigint"), docs)
+    assert ids(changed) == {(2, 1)} and changed.docs == 2 and Index(spark, changed.path).avg_length == changed.avg_length
+    assert index.hits(spark.createDataFrame([], "term string")).count() == 0
+
+
+def test_guard_refuses_to_measure(spark):
+    from quarryspark.operators import evaluate as E
+
+    docs = spark.createDataFrame([("https://x/a",)], "url string")
+    labels = spark.createDataFrame([("a",), ("b",)], "label string")
+    E.guard(labels.where("label = 'a'"), docs, F.expr("contains(url, label)"))
+    with pytest.raises(LookupError, match="b"):
+        E.guard(labels, docs, F.expr("contains(url, label)"))
