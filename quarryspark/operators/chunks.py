@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .store import chunk_ends, pieces
+from .store import pack_sentences
 
 TARGET, MOST = 220, 400
 _HEADING = re.compile(r" {0,3}(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$")
@@ -84,9 +84,8 @@ def chunk_documents(docs: DataFrame, target: int = TARGET, most: int = MOST) ->
     text, the language that of the heading path and the beginning of the section. Empty documents have no chunk.
     """
     rows = docs.select(F.col("url").cast("string"), "title", "markdown").mapInArrow(_groups(most), "url string, groups array<struct<heading:array<string>,body:string>>")
-    rows = rows.withColumn("s", F.transform("groups", lambda g: T.sentences(g["body"])))
-    rows = rows.withColumn("ends", chunk_ends(target, most)(F.transform("s", lambda xs: F.transform(xs, T.estimate_tokens))))
-    rows = rows.withColumn("texts", F.zip_with("s", "ends", lambda xs, es: F.filter(F.transform(pieces(xs, es), lambda x: T.plain_markdown(F.concat_ws(" ", x))), lambda x: x != "")))
+    rows = rows.withColumn("packed", pack_sentences(target, most)(F.transform("groups", lambda g: T.sentences(g["body"]))))
+    rows = rows.withColumn("texts", F.transform("packed", lambda parts: F.filter(F.transform(parts, lambda x: T.plain_markdown(F.concat_ws(" ", x))), lambda x: x != "")))
     lang = lambda g: T.detect_language(F.concat(F.concat_ws(" ", g["heading"]), F.lit(" "), F.substring(g["body"], 1, 400)))
     chunks = F.flatten(F.zip_with("groups", "texts", lambda g, xs: F.transform(xs, lambda x: F.struct(g["heading"].alias("heading_path"), lang(g).alias("lang"), x.alias("text")))))
     rows = rows.select("url", F.posexplode(chunks).alias("ord", "c"))

@@ -6,6 +6,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -66,7 +67,7 @@ def polite_schedule(rows: DataFrame, default_ms: int = 1000) -> DataFrame:
 
 
 #: Windows that a segment of a key's time is long: a busy key's requests are dealt out by segments.
-SEGMENT = 16
+SEGMENT = 64
 
 
 def rate_limit(rows: DataFrame, limit: int, window_ms: int, segment: int = SEGMENT) -> DataFrame:
@@ -80,16 +81,22 @@ def rate_limit(rows: DataFrame, limit: int, window_ms: int, segment: int = SEGME
     span = segment * window_ms
     rows = rows.select("key", "t_ms", "id").withColumns({"k": F.xxhash64("key"), "seg": F.floor(F.col("t_ms") / span).cast("long")})
     dealt = rows.repartition("k", "seg").sortWithinPartitions("k", "seg", "t_ms", "id")
-    steps = dealt.select("k", "seg", "t_ms").mapInArrow(_segments(lambda *x: _steps(*x, window_ms)), "k bigint, seg bigint, n bigint, ups array<bigint>, starts array<bigint>, used array<bigint>")
+    steps = dealt.select("k", "seg", "t_ms").mapInArrow(_segments(_steps(window_ms), _as_steps), "k bigint, seg bigint, n bigint, ups array<bigint>, starts array<bigint>, used array<bigint>")
     walked = steps.repartition("k").sortWithinPartitions("k", "seg").mapInArrow(_walk(window_ms), "k bigint, seg bigint, start bigint, before bigint")
-    both = rows.join(walked, ["k", "seg"]).repartition("k", "seg").sortWithinPartitions("k", "seg", "t_ms", "id")
+    both = rows.join(walked, ["k", "seg"]).withColumn("start", F.coalesce("start", F.lit(_NONE))).repartition("k", "seg").sortWithinPartitions("k", "seg", "t_ms", "id")
     kind = rows.schema["key"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
-    out = both.select("k", "seg", "t_ms", "key", "id", "start", "before").mapInArrow(_segments(lambda *x: _numbered(*x, window_ms, limit), rest=("key", "id", "start", "before")), f"key {kind[0]}, id {kind[1]}, allowed boolean, used int")
-    return out
+    return both.select("k", "seg", "t_ms", "key", "id", "start", "before").mapInArrow(_segments(_numbered(window_ms), _as_numbers(limit)), f"key {kind[0]}, id {kind[1]}, allowed boolean, used int")
 
 
-def _segments(f, rest: tuple[str, ...] = ()):
-    """Applies f(k, seg, times, table) to each segment of batches that are sorted by k and seg; a segment may span batches."""
+#: Stands for no start.
+_NONE = -(1 << 63)
+
+
+def _segments(each, finish):
+    """finish(rows, [each(columns, a, b) of every segment]) over batches that are sorted by k and seg; a segment may span batches. columns: numbers by name; a, b: the segment's rows."""
+
+    def whole(table: pa.Table, upto: int, cuts: list[int], columns: dict) -> pa.RecordBatch:
+        return finish(table.slice(0, upto), [each(columns, a, b) for a, b in zip(cuts, cuts[1:])])
 
     def run(batches):
         held = None
@@ -97,32 +104,39 @@ def _segments(f, rest: tuple[str, ...] = ()):
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-            k, seg = table.column("k").to_numpy(), table.column("seg").to_numpy()
+            table = table if held is None else pa.concat_tables([held, table])
+            columns = {c: table.column(c).to_numpy() for c in ("k", "seg", "t_ms", "start", "before") if c in table.column_names}
+            k, seg = columns["k"], columns["seg"]
             cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]) | (seg[1:] != seg[:-1])) + 1).tolist()]
-            found = [f(int(k[a]), int(seg[a]), table.column("t_ms").to_numpy()[a:b], table.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])]
-            if found:
-                yield from pa.Table.from_batches(found).combine_chunks().to_batches()
+            if len(cuts) > 1:
+                yield whole(table, cuts[-1], cuts, columns)
             held = table.slice(cuts[-1])
         if held is not None:
-            yield f(int(held.column("k")[0].as_py()), int(held.column("seg")[0].as_py()), held.column("t_ms").to_numpy(), held.combine_chunks())
+            yield whole(held, held.num_rows, [0, held.num_rows], {c: held.column(c).to_numpy() for c in ("k", "seg", "t_ms", "start", "before") if c in held.column_names})
 
     return run
 
 
-def _steps(k: int, seg: int, t: np.ndarray, _, window: int) -> pa.RecordBatch:
-    """For a start s before this segment: the first of ups that is s + window or later tells the last start in here and its requests; none: the start goes on."""
-    n = len(t)
-    after = np.searchsorted(t, t + window)
-    last = np.arange(n)
-    while (more := after[last] < n).any():
-        last = np.where(more, after[last.clip(max=n - 1)].clip(max=n - 1), last)
-    first = np.unique(np.searchsorted(t, t[: np.searchsorted(t, t[0] + window) + 1]))
-    ends = last[first]
-    keep = np.append(ends[1:] != ends[:-1], True)
-    ups, ends = t[first][keep], ends[keep]
-    whole = lambda x: pa.array([x.tolist()], pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array([k]), pa.array([seg]), pa.array([n]), whole(ups), whole(t[ends]), whole(n - ends)], ["k", "seg", "n", "ups", "starts", "used"])
+def _steps(window: int):
+    """For a start s before the segment: the first of ups that is s + window or later tells the last start in it and its requests; none: the start goes on."""
+
+    def each(columns: dict, a: int, b: int) -> tuple:
+        t = columns["t_ms"][a:b]
+        n, after, last = b - a, np.searchsorted(t, t + window), np.arange(b - a)
+        while (more := after[last] < n).any():
+            last = np.where(more, after[last].clip(max=n - 1), last)
+        first = np.unique(np.searchsorted(t, t[: np.searchsorted(t, t[0] + window) + 1]))
+        ends = last[first]
+        keep = np.append(ends[1:] != ends[:-1], True)
+        ups, ends = t[first][keep], ends[keep]
+        return int(columns["k"][a]), int(columns["seg"][a]), n, ups.tolist(), t[ends].tolist(), (n - ends).tolist()
+
+    return each
+
+
+def _as_steps(_, found: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*found), kinds)], ["k", "seg", "n", "ups", "starts", "used"])
 
 
 def _walk(window: int):
@@ -145,18 +159,30 @@ def _walk(window: int):
     return run
 
 
-def _numbered(k: int, seg: int, t: np.ndarray, table: pa.Table, window: int, limit: int) -> pa.RecordBatch:
-    start, used = table.column("start")[0].as_py(), table.column("before")[0].as_py()
-    out, at = np.empty(len(t), np.int64), 0
-    while at < len(t):
-        end = int(np.searchsorted(t, start + window)) if start is not None else 0
-        if end <= at:  # the next request begins a window
-            start, used, end = int(t[at]), 0, int(np.searchsorted(t, t[at] + window))
-        out[at:end] = used + np.arange(1, end - at + 1)
-        used, at = used + end - at, end
-    key, id_ = (table.column(c).combine_chunks() for c in ("key", "id"))
-    flat = lambda x: x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
-    return pa.RecordBatch.from_arrays([flat(key), flat(id_), pa.array(out <= limit), pa.array(out, pa.int32())], ["key", "id", "allowed", "used"])
+def _numbered(window: int):
+    """The place of each request in its window."""
+
+    def each(columns: dict, a: int, b: int) -> np.ndarray:
+        t, start, used = columns["t_ms"][a:b], int(columns["start"][a]), int(columns["before"][a])
+        out, at = np.empty(b - a, np.int64), 0
+        while at < b - a:
+            end = int(np.searchsorted(t, start + window)) if start != _NONE else 0
+            if end <= at:  # the next request begins a window
+                start, used, end = int(t[at]), 0, int(np.searchsorted(t, t[at] + window))
+            out[at:end] = np.arange(used + 1, used + 1 + end - at)
+            used, at = used + end - at, end
+        return out
+
+    return each
+
+
+def _as_numbers(limit: int):
+    def finish(table: pa.Table, found: list[np.ndarray]) -> pa.RecordBatch:
+        used = np.concatenate(found)
+        key, id_ = (pa.concat_arrays(table.column(c).chunks) for c in ("key", "id"))
+        return pa.RecordBatch.from_arrays([key, id_, pa.array(used <= limit), pa.array(used, pa.int32())], ["key", "id", "allowed", "used"])
+
+    return finish
 
 
 def limiter_state(taken: DataFrame, limit: int, window_ms: int, now_ms: int) -> DataFrame:
@@ -175,26 +201,15 @@ def live(cache: DataFrame, now: Column, order: list) -> DataFrame:
     return cache.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where((F.col("_r") == 1) & (F.col("expires_at") >= now)).drop("_r")
 
 
-def pack_sentences(rows: DataFrame, sentences: str, into: str, target: int = 220, most: int = 400) -> DataFrame:
-    """rows with chunks of a column of sentences: one is closed before it would pass `most` tokens and once it has `target`. The fold runs over token counts alone, in linear time."""
-    from ..functions.text import estimate_tokens
-
-    rows = rows.withColumn(into, chunk_ends(target, most)(F.array(F.transform(sentences, estimate_tokens))))
-    return rows.withColumn(into, pieces(F.col(sentences), F.col(into)[0]))
-
-
-def pieces(xs: Column, ends: Column) -> Column:
-    """An array cut after so many elements each."""
-    before = lambda i: F.when(i == 0, 0).otherwise(F.element_at(ends, F.greatest(i, F.lit(1))))
-    return F.transform(ends, lambda e, i: F.slice(xs, before(i) + 1, e - before(i)))
+def pack_sentences(target: int = 220, most: int = 400):
+    """A function of arrays of sentences, one for each section of a document: their chunks. One is closed before it would pass `most` tokens and once it has `target`.
 
+    The fold runs over token counts alone, in linear time; chunks are new offsets over the same strings.
+    """
 
-def chunk_ends(target: int, most: int):
-    """A function of token counts, an array for each section: after how many sentences each of its chunks ends."""
-
-    def fold(ns: list[int]) -> list[int]:
+    def ends(tokens: list[int]) -> list[int]:
         found, total, open_ = [], 0, False
-        for i, n in enumerate(ns):
+        for i, n in enumerate(tokens):
             if open_ and total + n > most:
                 found.append(i)
                 total = 0
@@ -202,13 +217,25 @@ def chunk_ends(target: int, most: int):
             if total >= target:
                 found.append(i + 1)
                 total, open_ = 0, False
-        return found + [len(ns)] if open_ else found
-
-    @F.arrow_udf("array<array<int>>")
-    def ends(sections: pa.Array) -> pa.Array:
-        return pa.array([[fold(ns or []) for ns in part or []] for part in sections.to_pylist()], pa.list_(pa.list_(pa.int32())))
-
-    return ends
+        return found + [len(tokens)] if open_ else found
+
+    @F.arrow_udf("array<array<array<string>>>")
+    def pack(documents: pa.Array) -> pa.Array:
+        sections = documents.flatten()
+        strings = sections.flatten()
+        tokens = ((pc.utf8_length(strings).to_numpy(zero_copy_only=False) + 3) // 4).tolist()
+        cuts, chunks, of_document, at = [0], [0], [0], 0
+        for n in pc.list_value_length(sections).to_pylist():
+            found = ends(tokens[at : at + (n or 0)])
+            cuts += [at + e for e in found]
+            chunks.append(chunks[-1] + len(found))
+            at += n or 0
+        for n in pc.list_value_length(documents).to_pylist():
+            of_document.append(of_document[-1] + (n or 0))
+        inner = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), strings.cast(pa.string()))
+        return pa.ListArray.from_arrays(pa.array(of_document, pa.int32()), pa.ListArray.from_arrays(pa.array(chunks, pa.int32()), inner))
+
+    return pack
 
 
 def complete(queue: DataFrame, done: DataFrame) -> DataFrame:

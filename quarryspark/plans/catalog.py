@@ -219,7 +219,7 @@ def simhash_bits(t):
 
 @query(f"with {O.GRAMS}, h as (select min(doc_id) doc_id, simhash from hx group by simhash) select a.doc_id as a, b.doc_id as b, {O.hamming('a.simhash', 'b.simhash')}::int as distance from h a join h b on a.doc_id < b.doc_id where {O.hamming('a.simhash', 'b.simhash')} <= 5")
 def neardup_pairs(t):
-    return R.near_pairs(R.simhash_bits(t.documents))
+    return R.near_pairs(t.index.hashes(), rows=t.index.docs)
 
 
 @query(f"with {O.SIGNALS} select item_id, doc_id from near")
@@ -521,7 +521,7 @@ cc as (select doc_id, chunk, row_number() over (partition by doc_id order by pla
 
 
 def _chunks(t):
-    packed = S.pack_sentences(t.documents.select("doc_id", T.sentences(F.col("text")).alias("s")), "s", "chunks")
+    packed = t.documents.select("doc_id", S.pack_sentences()(F.array(T.sentences(F.col("text"))))[0].alias("chunks"))
     chunk = packed.select("doc_id", F.posexplode("chunks").alias("ord", "xs"))
     tokens = F.aggregate(F.transform("xs", T.estimate_tokens), F.lit(0), lambda a, b: a + b)
     return chunk.select("doc_id", F.col("ord").cast("long").alias("ord"), tokens.alias("tokens"))
@@ -536,8 +536,8 @@ def chunk_pack(t):
 def chunk_stats(t):
     # Quantiles from the histogram of token counts, which has few distinct values.
     h = _chunks(t).groupBy("tokens").agg(F.count(F.lit(1)).alias("k"))
-    total = h.agg(F.sum("k").alias("n"), F.sum(F.col("tokens") * F.col("k")).alias("s"), F.max("tokens").alias("most"))
-    upto = h.withColumn("upto", F.sum("k").over(Window.orderBy("tokens"))).crossJoin(F.broadcast(total))
+    whole = Window.partitionBy()  # a row a token count
+    upto = h.select("tokens", "k", F.sum("k").over(Window.orderBy("tokens")).alias("upto"), F.sum("k").over(whole).alias("n"), F.sum(F.col("tokens") * F.col("k")).over(whole).alias("s"), F.max("tokens").over(whole).alias("most"))
     pick = lambda p, k: F.min(F.when(F.col("upto") > F.least(F.col("n") - 1, F.floor(F.col("n") * p)), F.col("tokens"))).alias(f"p{k}")
     return upto.agg(F.max("n").alias("chunks"), T.round_half_up(F.max(F.col("s") / F.col("n"))).alias("mean"), pick(0.05, "05"), pick(0.5, "50"), pick(0.95, "95"), F.max("most").alias("most"))
 

@@ -302,7 +302,7 @@ def test_index_is_replaced_without_a_trace(spark):
     assert ids(index) == {(1, 1), (1, 2), (2, 1)} and index.docs == 3
     changed = index.replaced(spark.createDataFrame([(1, "latch")], "doc_id bigint, text string"), spark.createDataFrame([(2,)], "doc_id bigint"), docs)
     assert ids(changed) == {(2, 1)} and changed.docs == 2 and Index(spark, changed.path).avg_length == changed.avg_length
-    assert index.hits(spark.createDataFrame([], "term string")).count() == 0
+    assert index.hits(spark.createDataFrame([], "item_id bigint, term string")).count() == 0
 
 
 def test_guard_refuses_to_measure(spark):
