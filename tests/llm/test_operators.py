@@ -435,6 +435,12 @@ def test_cross_entropy_difference(spark, sf, docs, odd):
     assert lm_score.cross_entropy_difference(docs.limit(0), targets).count() == 0
 
 
+def test_losses_equal_those_of_sql(spark, sf):
+    from quarryspark.llm.queries import ORACLES, QUERIES
+
+    assert_same(QUERIES["op8_lm_score"](spark, sf).toPandas(), duck(ORACLES["op8_lm_score"], sf))
+
+
 def test_counts_beyond_32_bits():
     keys, values, _ = lm_score.COUNTS.merge(np.array([3, 3], np.uint64), {"target": np.array([2**32, 5]), "other": np.array([1, 2**40])})
     assert values["target"].tolist() == [2**32 + 5] and values["other"].tolist() == [2**40 + 1]
