@@ -114,3 +114,8 @@ def test_engine_answers(spark):
     assert row["reason"] is not None or "[1]" in row["answer"]
     with pytest.raises(RequestError):
         SearchRequest.parse({"query": "x", "max_rounds": 9})
+
+
+def test_follow_ups_are_not_made_distinct(spark):
+    row = spark.createDataFrame([("asked", "a long title | x", "a long title | y")], "q string, a string, b string")
+    assert row.select(P.follow_ups(F.col("q"), F.array("a", "b", "a"))).first()[0] == ["a long title", "a long title"]
