@@ -83,7 +83,8 @@ def rate_limit(rows: DataFrame, limit: int, window_ms: int, segment: int = SEGME
     dealt = rows.repartition("k", "seg").sortWithinPartitions("k", "seg", "t_ms", "id")
     steps = dealt.select("k", "seg", "t_ms").mapInArrow(_segments(_steps(window_ms), _as_steps), "k bigint, seg bigint, n bigint, ups array<bigint>, starts array<bigint>, used array<bigint>")
     walked = steps.repartition("k").sortWithinPartitions("k", "seg").mapInArrow(_walk(window_ms), "k bigint, seg bigint, start bigint, before bigint")
-    both = rows.join(walked, ["k", "seg"]).withColumn("start", F.coalesce("start", F.lit(_NONE))).repartition("k", "seg").sortWithinPartitions("k", "seg", "t_ms", "id")
+    # By a hash of both: by the join's own columns it would be left out as done already, and lost when the join becomes a broadcast at run time.
+    both = rows.join(walked, ["k", "seg"]).withColumn("start", F.coalesce("start", F.lit(_NONE))).repartition(F.xxhash64("k", "seg")).sortWithinPartitions("k", "seg", "t_ms", "id")
     kind = rows.schema["key"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
     return both.select("k", "seg", "t_ms", "key", "id", "start", "before").mapInArrow(_segments(_numbered(window_ms), _as_numbers(limit)), f"key {kind[0]}, id {kind[1]}, allowed boolean, used int")
 

@@ -94,6 +94,18 @@ def test_rate_limit_across_segments(spark):
         assert {x["id"]: (x["key"], x["allowed"], x["used"]) for x in S.rate_limit(frame, 3, 1000, segment).collect()} == want
 
 
+def test_rate_limit_where_a_join_becomes_a_broadcast(spark):
+    """The last deal by segments is not left out where a join has dealt by the same columns: adaptive execution may make that join a broadcast."""
+    rows = spark.range(0, 4000, 1, 8).select((F.col("id") % 7).alias("key"), (F.col("id") * 10).alias("t_ms"), "id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = S.rate_limit(rows, 3, 1000)
+        assert found._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_COL") == 3
+        assert {r["id"]: r["used"] for r in found.collect()} == {i: (i // 7) % 15 + 1 for i in range(4000)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_near_pairs_by_every_scheme(spark, monkeypatch):
     import numpy as np
 
