@@ -66,6 +66,11 @@ def polite_schedule(rows: DataFrame, default_ms: int = 1000) -> DataFrame:
     return rows.select("host", "url", ((F.row_number().over(Window.partitionBy("host").orderBy("order", "url")) - 1) * delay).cast("long").alias("at_ms"))
 
 
+def millis(ts: Column) -> Column:
+    """Milliseconds since 1970, rounded half up."""
+    return F.floor((F.unix_micros(ts.cast("timestamp")) + 500) / 1000).cast("long")
+
+
 #: Windows that a segment of a key's time is long: a busy key's requests are dealt out by segments.
 SEGMENT = 64
 

@@ -75,7 +75,7 @@ def capped_bodies(t):
 
 @query(f"with l as ({_LIMIT.replace('select key, id, used <= 3 as allowed', 'select key, id, n, start, used <= 3 as allowed')}), z as (select key, arg_max(start, n) s, max(n) m, arg_max(used, n) u from l group by 1) select key, u < 3 as allowed, greatest(0, 3 - u)::int as remaining, greatest(1, ceil(greatest(0, s + 21600000 - 1706659200000) / 1e3))::bigint as reset_seconds from z")
 def limiter_peek(t):
-    rows = t.events.select(F.col("user_id").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t_ms"), F.col("event_id").alias("id"))
+    rows = t.events.select(F.col("user_id").alias("key"), S.millis(F.col("ts")).alias("t_ms"), F.col("event_id").alias("id"))
     taken = S.rate_limit(rows, 3, 6 * 3600 * 1000).join(rows, ["key", "id"])
     last = taken.groupBy("key").agg(F.max(F.struct("t_ms", "id", "used")).alias("x"))
     first = taken.where("used = 1").groupBy("key").agg(F.max("t_ms").alias("start_ms"))  # the last window's first request

@@ -106,6 +106,11 @@ def test_rate_limit_where_a_join_becomes_a_broadcast(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_milliseconds_are_rounded(spark):
+    rows = spark.createDataFrame([("2024-01-01 00:00:11.172499",), ("2024-01-01 00:00:11.1725",), ("2024-01-01 00:00:11.172999",)], "s string")
+    assert [r[0] for r in rows.select(S.millis(F.col("s").cast("timestamp_ntz"))).collect()] == [1704067211172, 1704067211173, 1704067211173]
+
+
 def test_near_pairs_by_every_scheme(spark, monkeypatch):
     import numpy as np
 
