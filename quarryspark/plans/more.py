@@ -160,7 +160,7 @@ def bm25_chunks(t):
 
 @query(f"with {O.BM25} select item_id, count(*) as n, max(score) as best, {O.half_up('sum(score)', 2)} as total from bm group by 1")
 def score_all(t):
-    return t.index.scores(t.benchmark).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"), T.round_half_up(F.sum("score"), 2).alias("total"))
+    return t.index.totals(t.benchmark).withColumn("total", T.round_half_up(F.col("total"), 2))
 
 
 @query(f"with {O.DENSE.replace('embeddings e)', '(select * from embeddings where vec_id in (select doc_id from labels)) e)')} select item_id, doc_id, score, rank::int as rank from den where rank <= 10")

@@ -330,3 +330,20 @@ def test_guard_refuses_to_measure(spark):
     E.guard(labels.where("label = 'a'"), docs, F.expr("contains(url, label)"))
     with pytest.raises(LookupError, match="b"):
         E.guard(labels, docs, F.expr("contains(url, label)"))
+
+
+def test_index_agrees_with_the_tokenizer(spark, sf):
+    """One pass by tasks gives the terms, lengths, frequencies and fingerprints of the text functions, and the scores of a plain read."""
+    from quarryspark.operators.index import Index
+
+    odd = [(-1, None), (-2, ""), (-3, "Éa\u0301 İstanbul ΣΑΣ naïve Ünï-cödé C++ c# node.js ... deve-se mentes claramente boxes publicacoes " + "x" * 41), (-4, "the of a"), (-5, "ÀÉ ﬁsh ǅ Straße 한글 ١٢ a_b. x")]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id bigint, text string"))
+    index = Index.build(docs)
+    rows = lambda x: {tuple(r) for r in x.collect()}
+    one = index.documents.select("doc_id", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("doc_id", "x.terms", F.col("x.tfs").cast("long"))
+    assert rows(one) == rows(R.postings(docs)) and rows(index.documents.select("doc_id", "dl")) == rows(R.lengths(docs)) and rows(index.hashes()) == rows(R.simhash_bits(docs))
+    asked = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text")
+    assert rows(index.bm25(asked, 7)) == rows(R.bm25(asked, docs, 7))
+    n, best = index.scores(asked).count(), index.totals(asked).agg(F.sum("n"), F.max("best")).first()
+    assert n == best[0] and best[1] == R.bm25(asked, docs, 1).agg(F.max("score")).first()[0]
+    assert "Exchange" not in index.scores(asked)._jdf.queryExecution().executedPlan().toString()  # pairs of query and document are not shuffled
