@@ -347,3 +347,12 @@ def test_index_agrees_with_the_tokenizer(spark, sf):
     n, best = index.scores(asked).count(), index.totals(asked).agg(F.sum("n"), F.max("best")).first()
     assert n == best[0] and best[1] == R.bm25(asked, docs, 1).agg(F.max("score")).first()[0]
     assert "Exchange" not in index.scores(asked)._jdf.queryExecution().executedPlan().toString()  # pairs of query and document are not shuffled
+
+
+def test_phrases_meet_texts_without_a_join(spark, monkeypatch):
+    monkeypatch.setattr(R, "PHRASES_PER_PASS", 2)
+    docs = spark.createDataFrame([(i, f"begin word{i} one two three word{i + 1} end") for i in range(6)] + [(9, None)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(f"i{i}", f"ord{i} one two three word{i + 1} e") for i in range(5)] + [("e", ""), ("n", None)], "item_id string, text string")
+    found = R.containing(docs, items)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {(i, f"i{i}") for i in range(5)} | {(i, "e") for i in range(6)}
