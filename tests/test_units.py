@@ -356,3 +356,18 @@ def test_phrases_meet_texts_without_a_join(spark, monkeypatch):
     found = R.containing(docs, items)
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in found.collect()} == {(i, f"i{i}") for i in range(5)} | {(i, "e") for i in range(6)}
+
+
+def test_fingerprints_are_made_for_the_pool_alone(spark, sf):
+    """An index without fingerprints gives the same candidates, given the texts; fingerprints of texts are those of the text functions, over runs of 60 words too."""
+    from quarryspark.operators.index import Index, fingerprints
+    from quarryspark.plans import search as P
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, "one"), (-3, "x y " * 200 + "z"), (-4, f"{'ab' * 20} {'éü' * 20} {'ñ' * 40}")], "doc_id bigint, text string"))
+    rows = lambda x: {tuple(r) for r in x.collect()}
+    assert rows(fingerprints(docs)) == rows(R.simhash_bits(docs))
+    asked = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").limit(20)
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    bare = Index.build(docs, simhash=False)
+    assert "simhash" not in bare.documents.columns
+    assert rows(P.candidates(asked, bare, vectors, texts=docs)) == rows(P.candidates(asked, Index.build(docs), vectors))
