@@ -149,18 +149,18 @@ _TITLED = O.BM25.replace(O.KEPT, O.KEPT.replace("string_split_regex(text,", "str
 @query(f"with {_TITLED} select item_id, doc_id, score, rank::int as rank from lex where rank <= 10")
 def bm25_titled(t):
     docs = t.documents.select("doc_id", F.col("source").alias("title"), F.array("source", "lang").alias("heading_path"), "text")
-    return Index.build(docs, simhash=False).bm25(t.benchmark, 10)
+    return Index.build(docs, simhash=False, queries=t.benchmark).bm25(t.benchmark, 10)
 
 
 @query(f"with {_TEXTS}, documents as (select ord * 10000000 + doc_id as doc_id, source || chr(10) || source || chr(10) || chunk as text from cc join documents using (doc_id)), {O.BM25} select item_id, doc_id, score, rank::int as rank from lex where rank <= 10".replace("with s as", "with s as", 1))
 def bm25_chunks(t):
     chunks = _document_chunks(t).join(t.documents.select(F.col("doc_id").cast("string").alias("url"), F.col("source").alias("title")), "url")
-    return Index.build(chunks.select((F.col("ord") * 10_000_000 + F.col("url").cast("long")).alias("doc_id"), "title", "heading_path", "text"), simhash=False).bm25(t.benchmark, 10)
+    return Index.build(chunks.select((F.col("ord") * 10_000_000 + F.col("url").cast("long")).alias("doc_id"), "title", "heading_path", "text"), simhash=False, queries=t.benchmark).bm25(t.benchmark, 10)
 
 
 @query(f"with {O.BM25} select item_id, count(*) as n, max(score) as best, {O.half_up('sum(score)', 2)} as total from bm group by 1")
 def score_all(t):
-    return t.index.totals(t.benchmark).withColumn("total", T.round_half_up(F.col("total"), 2))
+    return t.asked.totals(t.benchmark).withColumn("total", T.round_half_up(F.col("total"), 2))
 
 
 @query(f"with {O.DENSE.replace('embeddings e)', '(select * from embeddings where vec_id in (select doc_id from labels)) e)')} select item_id, doc_id, score, rank::int as rank from den where rank <= 10")
@@ -191,7 +191,7 @@ _CALIBRATED = (
 
 @query(f"with {_CALIBRATED} select item_id, doc_id, composite, keep, route from ga")
 def calibrated_gate(t):
-    return P.judged(t.benchmark, t.hosted, t.candidates, J.CALIBRATED).select("item_id", "doc_id", "composite", "keep", "route")
+    return P.judged(t.benchmark, t.pool, t.candidates, J.CALIBRATED).select("item_id", "doc_id", "composite", "keep", "route")
 
 
 @query(f"with {O.GATE}, p as (select item_id, doc_id, route, row_number() over (partition by item_id, route order by composite desc, doc_id) r from ga) select item_id, doc_id, route from p where route <> 'include' or r <= 2")
@@ -287,5 +287,5 @@ def score_board(t):
 def rank_moves(t):
     gold = R.containing(t.documents, t.benchmark)
     best = lambda rows, rank, name: gold.join(rows, ["item_id", "doc_id"]).groupBy("item_id").agg(F.min(rank).alias(name))
-    rows = t.benchmark.select("item_id").join(best(t.index.bm25(t.benchmark, 10), "rank", "before"), "item_id", "left").join(best(P.page(t.judged), "position", "after"), "item_id", "left")
+    rows = t.benchmark.select("item_id").join(best(t.asked.bm25(t.benchmark, 10), "rank", "before"), "item_id", "left").join(best(P.page(t.judged), "position", "after"), "item_id", "left")
     return E.rank_moves(rows)

@@ -398,3 +398,39 @@ def test_near_pairs_come_once_without_a_shuffle_of_pairs(spark):
 
     grams = [bytes(r.randrange(256) for _ in range(n)) for n in (*range(130), 55, 56)]
     assert _heads(pa.array(grams, pa.binary())).tobytes() == b"".join(hashlib.sha1(g).digest()[:8] for g in grams)
+
+
+def test_index_for_a_batch_answers_as_the_whole_one(spark, sf, monkeypatch):
+    from quarryspark.operators import index as I
+
+    odd = ["", None, "Ponies pony PONIES, running runs -run- boxes box", "naïve—Café…CAFÉ cafe\u0301 ΣΟΦΟΣ 数据 データ x", "acao acoes c++ C# node.js ._- a the I " + "w" * 40 + " " + "w" * 41, "lentamente lenta lentas his hi his", "a", "\u00a0box\u2028pony\u3000run", "bo\0x box\x7fpony", "🙂box🙂 ÀÉ é"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(odd, 10**6)), "doc_id bigint, text string"))
+    asked = spark.read.parquet(f"{sf}/benchmark.parquet").unionByName(spark.createDataFrame([(10**6 + i, x) for i, x in enumerate(("pony box run", "cafe naive σοφος 数据 データ", "acao c++ c# node.js a lenta hi the x", "w" * 40, "e ae", ""))], "item_id bigint, text string"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    whole = I.Index.build(docs, simhash=False)
+    monkeypatch.setattr(I, "BYTES_AT_ONCE", 1_000)
+    batch = I.Index.build(docs, queries=asked)
+    assert rows(batch.documents.select("doc_id", "dl")) == rows(whole.documents.select("doc_id", "dl")) and (batch.docs, batch.avg_length) == (whole.docs, whole.avg_length)
+    terms = asked.select(F.explode(T.query_terms(F.col("text"))).alias("term")).distinct()
+    assert rows(batch.terms) == rows(whole.terms.join(terms, "term", "left_semi"))
+    ask = asked.select("item_id", F.explode(T.query_terms(F.col("text"))).alias("term"))
+    columns = ["item_id", "doc_id", "term", "tf", "dl", "df"]
+    assert rows(batch.hits(ask).select(columns)) == rows(whole.hits(ask).select(columns)) and rows(batch.scores(asked)) == rows(whole.scores(asked))
+    monkeypatch.setattr(I, "MOST_TERMS", 5)  # more terms than fit: all of them are indexed
+    assert rows(I.Index.build(docs, queries=asked).terms) == rows(whole.terms)
+
+
+def test_texts_are_read_once_after_retrieval(spark, sf):
+    from quarryspark.plans.catalog import QUERIES
+
+    for name in ("shape_results", "extractive_answer", "rerank_composite"):
+        assert not any(x.endswith("documents.parquet") for x in QUERIES[name](spark, sf).inputFiles())
+
+
+def test_large_tables_are_not_dealt_out_anew(spark, sf, monkeypatch):
+    from quarryspark.plans import catalog as C
+
+    parts = lambda: C.Tables(spark, sf).documents.rdd.getNumPartitions()
+    assert parts() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(C, "SMALL", 0)
+    assert parts() == spark.read.parquet(f"{sf}/documents.parquet").rdd.getNumPartitions()
