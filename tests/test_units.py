@@ -434,3 +434,20 @@ def test_large_tables_are_not_dealt_out_anew(spark, sf, monkeypatch):
     assert parts() == spark.sparkContext.defaultParallelism
     monkeypatch.setattr(C, "SMALL", 0)
     assert parts() == spark.read.parquet(f"{sf}/documents.parquet").rdd.getNumPartitions()
+
+
+def test_phrases_are_looked_up_by_bytes(spark, monkeypatch):
+    """As brute force finds them, whatever the block's size, over texts that end within a character's bytes of one another; words aren't cut for it."""
+    import random
+
+    r = random.Random(7)
+    text = lambda n: "".join(r.choices(r.choice(("ab", "abcé ", "a🙂ñ ")), k=n))
+    docs = [(i, text(r.choice((0, 1, 8, 30, 90)))) for i in range(60)]
+    items = [(i, text(r.choice((0, 2, 7, 8, 9, 15, 16, 17)))) for i in range(40)] + [(100 + i, s[2:-1]) for i, s in docs] + [(200 + i, s) for i, s in docs]
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} bigint, text string")
+    for size in (1, 40, 1_000_000):
+        monkeypatch.setattr(R, "BYTES_AT_ONCE", size)
+        found = R.containing(frame(docs, "doc_id"), frame(items, "item_id"))
+        assert "split" not in found._jdf.queryExecution().optimizedPlan().toString()
+        got = [tuple(x) for x in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == {(i, j) for i, s in docs for j, q in items if q in s}
