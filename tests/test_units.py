@@ -451,3 +451,22 @@ def test_phrases_are_looked_up_by_bytes(spark, monkeypatch):
         assert "split" not in found._jdf.queryExecution().optimizedPlan().toString()
         got = [tuple(x) for x in found.collect()]
         assert len(got) == len(set(got)) and set(got) == {(i, j) for i, s in docs for j, q in items if q in s}
+
+
+def test_accents_of_latin_letters_go_by_columns(spark):
+    """Runs with accented Latin-1 letters become ASCII before words are looked up; the index is that of all terms still."""
+    import pyarrow as pa
+
+    from quarryspark.operators import index as I
+
+    of, runs = I._runs(pa.array(["CAFÉ naïve", "é", "", "Ñandú×ß. 数é"]), 0, 4)
+    assert of.tolist() == [0, 0, 1, 3, 3] and [x.decode() for x in runs.to_pylist()] == ["cafe", "naive", "e", "nandu×ß.", "数e"]
+    letters = [chr(c) for c in range(0x80, 0x250)]
+    texts = [f"x{c}y {c} {c}s é{c}́Ý. {c}{c.upper()}-ÀS" for c in letters] + ["É" * 40 + " " + "é" * 41, "canções caçoes CANÇÕES"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(2)
+    asked = docs.withColumnRenamed("doc_id", "item_id")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    whole, batch = I.Index.build(docs, simhash=False), I.Index.build(docs, queries=asked)
+    assert rows(batch.documents.select("doc_id", "dl")) == rows(whole.documents.select("doc_id", "dl"))
+    terms = asked.select(F.explode(T.query_terms(F.col("text"))).alias("term")).distinct()
+    assert rows(batch.terms) == rows(whole.terms.join(terms, "term", "left_semi"))
